@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their SQL, for __spark_entry__.py."""
 
-from docloom.llm import exact_dedup, language_id, line_dedup, near_dedup, packing
+from docloom.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_packing": packing.op5_packing,
     "op7_language_id": language_id.op7_language_id,
+    "op8_bpe": bpe.op8_bpe,
 }
 
 SQL = {
