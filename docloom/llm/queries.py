@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their SQL, for __spark_entry__.py."""
 
-from docloom.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, warc
+from docloom.llm import bpe, exact_dedup, html_extract, language_id, line_dedup, near_dedup, packing, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_language_id": language_id.op7_language_id,
     "op8_bpe": bpe.op8_bpe,
+    "op9_html_extraction": html_extract.op9_html_extraction,
 }
 
 SQL = {
