@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their SQL, for __spark_entry__.py."""
 
-from docloom.llm import bpe, exact_dedup, html_extract, language_id, line_dedup, near_dedup, packing, warc
+from docloom.llm import bpe, exact_dedup, html_extract, language_id, line_dedup, near_dedup, nearest, packing, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_bpe": bpe.op8_bpe,
     "op9_html_extraction": html_extract.op9_html_extraction,
+    "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_warc": warc.SQL,
+    "op10_nearest_neighbours": nearest.SQL,
 }
