@@ -33,6 +33,8 @@ PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 #: Members of a block in the comparison of what stars leave open.
 BLOCK = 256
+#: Bits of the bitmap that spares the join most texts without a partner: 8 MB, whatever the input.
+MARKS = 1 << 26
 #: Bytes of text or shingle values that are worked on at once.
 CHUNK = 1 << 20
 
@@ -153,13 +155,29 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values)], schema=_SIGNED)
 
 
-def _shingled(batches):
-    for batch in batches:
-        for at, texts in slices(batch.column(1)):
-            sets = shingle_sets(texts)
-            values = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
-            offsets = pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(offsets, values)], names=["node", "members"])
+def _shingled(marks):
+    def run(batches):
+        bits = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(bits[at >> 3] >> (at & 7) & 1 == 1))
+            for at, texts in slices(batch.column(1)):
+                sets = shingle_sets(texts)
+                values = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
+                offsets = pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(offsets, values)], names=["node", "members"])
+
+    return run
+
+
+def marked(nodes: DataFrame, mark):
+    """A broadcast bitmap of MARKS bits, a fixed size, in which the marks of all nodes are set."""
+    page = 8 * 4096
+    pages = nodes.select(mark("node").alias("m")).groupBy(F.floor(F.col("m") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("m") % page).alias("bits")).collect()
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in pages:
+        out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -222,9 +240,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met, _ = stage(members.join(buckets, "bucket").where("node <> centre").groupBy("centre", "node").agg(F.max("size").alias("size")), "met")
     nodes = met.select("node").union(met.select(F.col("centre").alias("node"))).distinct()
-    wanted = given.join(nodes, given["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text")
+    # Texts outside the bitmap of wanted ids are passed over where they are read; only sets go to the join.
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    found = given.where("doc_id IS NOT NULL").select("doc_id", "text", mark("doc_id").alias("mark")).mapInArrow(_shingled(marked(nodes, mark)), "node long, members array<long>")
     # A repeated id gives several sets; links of any of them count.
-    sets, _ = stage(wanted.mapInArrow(_shingled, "node long, members array<long>").distinct(), "sets")
+    sets, _ = stage(found.join(nodes, "node", "left_semi"), "sets")
 
     size = F.size(F.array_intersect("x.members", "y.members")).cast("long")
     pairs = met.alias("m").join(sets.alias("x"), F.expr("m.node = x.node")).join(sets.alias("y"), F.expr("m.centre = y.node"))
