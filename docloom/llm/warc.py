@@ -25,6 +25,8 @@ from docloom.ship import ship
 #: Payload bytes of an archive file, about.
 FILE_BYTES = 16 << 20
 END = b"\r\n\r\n"
+#: The last header of our own records; it covers the ones before.
+HEAD_DIGEST = b"\r\nX-Header-Digest: sha1:"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 
@@ -51,7 +53,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(body)}",
     ]
-    return "\r\n".join(lines).encode() + END + body
+    head = "\r\n".join(lines).encode()
+    return head + HEAD_DIGEST + payload_digest(head).encode() + END + body
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -66,14 +69,17 @@ def gzip_member(data: bytes) -> bytes:
 def parse_record(data, at: int = 0) -> tuple[dict, bytes, int] | None:
     """(headers, block, position after the record), or None if a check fails.
 
-    The version line, the mandatory headers, the length, the final line ends
-    and the block digest, if there is one, must all hold.
+    The version line, the mandatory headers, the length, the final line ends,
+    and the digests of the block and of the headers, where given, must all hold.
     """
     if not _VERSION.match(data, at):
         return None
     stop = data.find(END, at)
     if stop < 0:
         return None
+    covered, mark, want = bytes(data[at:stop]).rpartition(HEAD_DIGEST)
+    if mark and payload_digest(covered).encode() != want:
+        return None
     headers = {}
     for line in bytes(data[at:stop]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
