@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions.dates import zone_votes
 from docloom.operators import chunks, classify, merge, packages, retrieval, rules, specs
 from docloom.sources import files
+from docloom.stages import stage
 
 DEFAULT_RULES = Path(__file__).resolve().parent.parent / "conf" / "fields.yaml"
 
@@ -45,7 +46,8 @@ def document_table(scanned: DataFrame, blocks: DataFrame) -> DataFrame:
 def package_table(docs: DataFrame) -> DataFrame:
     """docs with package_id, and with score and margin where an orphan was placed."""
     own = packages.bid_documents(docs).withColumn("keys", packages.strong_keys(F.col("file_name"), F.col("text")))
-    members = packages.cluster(own)
+    own, _ = stage(own, "documents")
+    members, _ = stage(packages.cluster(own), "clusters")
     terms = packages.doc_terms(own.withColumn("text", F.concat_ws(" ", "file_name", "text")))
     sizes = own.groupBy("folder").agg(F.count(F.lit(1)).alias("n_docs"))
     weights = packages.idf(terms, sizes)
@@ -66,27 +68,30 @@ def run(spark: SparkSession, path: str, specs_: list[rules.Spec] | None = None,
     """
     own = specs_ or load_rules()
     scanned = files.scan(spark, path)
+    # Each of these tables feeds many parts of the plan, so it is written once and read back.
     blocks, bad = files.parse(scanned, parsers)
-    blocks = blocks.persist()
-    docs = package_table(document_table(scanned, blocks)).persist()
+    blocks, _ = stage(blocks, "blocks")
+    docs, _ = stage(package_table(document_table(scanned, blocks)), "packages")
     spec_rows, rule_rows = rules.frames(spark, own)
 
     zones = zone_votes(docs).select("package_id", "iana")
-    docs = docs.join(zones, "package_id", "left")
+    docs, _ = stage(docs.join(zones, "package_id", "left"), "zoned")
     hits = None
     if retrieve:
         cut = chunks.chunk(blocks).join(docs.select("doc_id", "package_id", "precedence", "doc_type"), "doc_id")
         queries = retrieval.field_queries(spec_rows, rule_rows)
         found = _search(cut, _per_package(docs, queries))
         hits = found.join(cut.select("package_id", "chunk_id", "doc_id", "block_ids"), ["package_id", "chunk_id"]).select("doc_id", F.col("field"), F.explode("block_ids").alias("block_id")).distinct()
+        hits, _ = stage(hits, "hits")
 
     with_zone = blocks.join(docs.select("doc_id", "iana"), "doc_id", "left")
-    mined = rules.mine(docs, with_zone, own, hits, F.col("iana"))
+    mined, _ = stage(rules.mine(docs, with_zone, own, hits, F.col("iana")), "mined")
     spec_maps = specs.specifications(docs, blocks).join(docs.select("doc_id", "doc_ord", "doc_type", "precedence"), "doc_id")
     spec_rows_ = spec_maps.select("doc_id", "doc_type", "precedence", F.lit("product_specification").alias("field"), F.lit(None).cast("string").alias("norm_str"), F.lit(None).cast("array<string>").alias("norm_list"), "norm_map", F.lit("0.900").cast("decimal(4,3)").alias("confidence"), F.lit("spec").alias("signature"), (F.col("doc_ord") * 1_000_000).cast("bigint").alias("cand_ord"), F.lit(1).alias("page"), F.lit("product specification").alias("span"))
     plain = mined.join(spec_rows_.select("doc_id", "field"), ["doc_id", "field"], "left_anti").withColumn("norm_map", F.lit(None).cast("map<string,map<string,string>>"))
     cols = ["doc_id", "doc_type", "precedence", "field", "norm_str", "norm_list", "norm_map", "confidence", "signature", "cand_ord", "page", "span"]
-    candidates = plain.select(*cols).unionByName(spec_rows_.select(*cols)).join(docs.select("doc_id", "package_id"), "doc_id").persist()
+    candidates = plain.select(*cols).unionByName(spec_rows_.select(*cols)).join(docs.select("doc_id", "package_id"), "doc_id")
+    candidates, _ = stage(candidates, "candidates")
 
     resolved, conflicts = merge.merge(merge.with_scope_bonus(candidates, spec_rows), spec_rows)
     single, _ = merge.merge(candidates.withColumn("package_id", F.col("doc_id")), spec_rows)
