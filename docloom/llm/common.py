@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.ship import ship
+from docloom.stages import shared_dir, stage, stage_path, unstage
+
+__all__ = ["ascii_lower", "bitmap", "mark", "marked", "only_marked", "shared_dir", "stage", "stage_path", "table", "unstage"]
 
 #: The white space of the line and word contracts: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -19,41 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is spark.checkpoint.dir. Where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Bits of a bitmap of marks: 8 MB, whatever the input.
+MARKS = 1 << 26
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}/{name}"
+def mark(*columns) -> Column:
+    """The bit that stands for some columns in a bitmap of marks."""
+    return F.pmod(F.xxhash64(*columns), F.lit(MARKS))
 
 
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back.
+def bitmap(df: DataFrame, *columns):
+    """A broadcast bitmap of fixed size in which the marks of all rows of df are set.
 
-    This cuts the lineage and survives lost executors. Returns the table and
-    its path, for unstage().
+    Rows without a partner in df can be passed over with it where they are
+    read. Some rows without one pass it, so a join still decides.
     """
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    page = 8 * 4096
+    pages = df.select(mark(*columns).alias("m")).groupBy(F.floor(F.col("m") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("m") % page).alias("bits")).collect()
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in pages:
+        out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def marked(bits: bytes, at: np.ndarray) -> np.ndarray:
+    """Which marks are set."""
+    return np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7) & 1 == 1
+
+
+def only_marked(bits, at: int, set_: bool = True):
+    """For mapInArrow: the rows whose mark, in column `at`, is set or, with set_ false, is not."""
 
+    def run(batches):
+        for batch in batches:
+            keep = marked(bits.value, batch.column(at).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(keep == set_))
 
-def unstage(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that no later plan reads."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-        p.getFileSystem(conf).delete(p, True)
+    return run
 
 
 def ascii_lower(c: Column) -> Column:

@@ -15,10 +15,10 @@ import html as entities
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage, table
+from docloom.llm.common import bitmap, mark, marked, only_marked, stage, table
 from docloom.ship import ship
 
 #: A subtree is template if it recurs on MIN_PAGES distinct pages of its host and on MIN_SHARE of them.
@@ -181,10 +181,9 @@ def blocks(nodes: list[Node]) -> list[tuple[int, str]]:
     return [(i, t) for i, t in found if t]
 
 
-def host_of(url: str | None) -> str:
+def host(url: Column) -> Column:
     """The host of a URL, lower-cased, without user and port; empty if there is none."""
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m.group(1).lower() if m else ""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def _candidates(nodes: list[Node]) -> list[int]:
@@ -192,35 +191,59 @@ def _candidates(nodes: list[Node]) -> list[int]:
     return [i for i, x in enumerate(nodes) if i and x.has_text and not x.dropped and x.tag not in ("html", "body", "article", "main") and not (x.prose and x.tag in PROSE)]
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.binary()), ("subtrees", pa.list_(pa.binary())), ("texts", pa.list_(pa.string())), ("paths", pa.list_(pa.list_(pa.binary())))])
-PARSED = "page_id long, url string, host string, content binary, subtrees array<binary>, texts array<string>, paths array<array<binary>>"
-
-
-def _parse(batches):
+def _subtrees(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            rows = []
-            for page_id, url, source in zip(*(part.column(i) for i in range(3)), strict=True):
-                url, source = url.as_py(), source.as_py() or ""
-                nodes = parse(source)
-                candidates = set(_candidates(nodes))
-                texts, paths = [], []
-                for i, t in blocks(nodes):
-                    path = []
-                    while i > 0:
-                        if i in candidates:
-                            path.append(nodes[i].hash)
-                        i = nodes[i].parent
-                    texts.append(t)
-                    paths.append(path)
-                rows.append((page_id.as_py(), url, host_of(url), hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=16).digest(), sorted({nodes[i].hash for i in candidates}), texts, paths))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARSED.types, strict=True)], schema=_PARSED)
+            found = []
+            for source in part.column(2):
+                nodes = parse(source.as_py() or "")
+                found.append(sorted({nodes[i].hash for i in _candidates(nodes)}))
+            some = pa.array([bool(x) for x in found])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.binary()))], names=["host", "content", "subtrees"]).filter(some)
+
+
+def main_text(source: str, gone: set[bytes]) -> str:
+    """The kept blocks that lie in none of the template subtrees."""
+    nodes = parse(source)
+    removed = {i for i in _candidates(nodes) if nodes[i].hash in gone} if gone else set()
+
+    def stays(i: int) -> bool:
+        while i > 0:
+            if i in removed:
+                return False
+            i = nodes[i].parent
+        return True
+
+    return " ".join(t for i, t in blocks(nodes) if not removed or stays(i))
+
+
+def _extract(bits):
+    """page_id, url and text of page_id, url, html, mark and, for pages with template, gone. Without gone, pages whose bit is set are left out."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_columns == 4 and bits is not None:
+                batch = batch.filter(pa.array(~marked(bits.value, batch.column(3).to_numpy(zero_copy_only=False))))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                gone = part.column(4).to_pylist() if batch.num_columns > 4 else [None] * part.num_rows
+                texts = [main_text(h.as_py() or "", set(g or ())) for h, g in zip(part.column(2), gone, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+PAGE = "page_id long, url string, html string, host string, content binary, mark long"
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
+    Pages are parsed twice: for their subtrees' hashes, which alone are counted
+    and written, and for their text. Only pages with template subtrees are
+    joined with what to delete; the others are read past them by a bitmap.
+
     Copies of a page count once when subtrees are counted, so that a page does
     not become its own template. Null, empty or text-free html gives empty text.
     Pages that break off are read as far as they go. A null url, or one without
@@ -228,19 +251,24 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     each; other columns are not read.
     """
     ship(pages.sparkSession)
-    parsed, _ = stage(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, PARSED), "parsed-pages")
-    hosts = parsed.groupBy("host", "content").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    template = seen.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
-    template, _ = stage(template, "template")
-
-    # A page is found by its hash and id; pages without template subtrees don't take part.
-    hit = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).distinct().join(template, ["host", "subtree"], "left_semi").groupBy("host", "content").agg(F.collect_set("subtree").alias("gone"))
-    judged = parsed.join(hit, ["host", "content"], "left")
-    pairs = F.arrays_zip("texts", "paths")
-    kept = F.filter(pairs, lambda b: ~F.coalesce(F.arrays_overlap(b["paths"], F.col("gone")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["texts"]), " ")
-    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    html = F.coalesce(pages["html"], F.lit(""))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"), F.unhex(F.md5(html)).alias("content")).withColumn("mark", mark("host", "content"))
+    parsed, _ = stage(own.select("host", "content", "html").mapInArrow(_subtrees, "host string, content binary, subtrees array<binary>"), "subtrees")
+    seen = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    hosts = own.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    template = counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    hit, _ = stage(seen.join(template, ["host", "subtree"], "left_semi").groupBy("host", "content").agg(F.collect_set("subtree").alias("gone")), "template")
+
+    text = "page_id long, url string, text string"
+    if hit.isEmpty():
+        found = own.select("page_id", "url", "html", "mark").mapInArrow(_extract(None), text)
+    else:
+        bits = bitmap(hit, "host", "content")
+        found = own.select("page_id", "url", "html", "mark").mapInArrow(_extract(bits), text)
+        joined = own.mapInArrow(only_marked(bits, 5), PAGE).join(hit, ["host", "content"], "left").select("page_id", "url", "html", "mark", "gone")
+        found = found.union(joined.mapInArrow(_extract(None), text))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

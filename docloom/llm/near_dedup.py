@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage, table
+from docloom.llm.common import bitmap, mark, marked, stage, table
 from docloom.llm.graph import connected_components
 from docloom.ship import ship
 
@@ -33,8 +33,6 @@ PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 #: Members of a block in the comparison of what stars leave open.
 BLOCK = 256
-#: Bits of the bitmap that spares the join most texts without a partner: 8 MB, whatever the input.
-MARKS = 1 << 26
 #: Bytes of text or shingle values that are worked on at once.
 CHUNK = 1 << 20
 
@@ -157,10 +155,8 @@ def _sign(batches):
 
 def _shingled(marks):
     def run(batches):
-        bits = np.frombuffer(marks.value, np.uint8)
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bits[at >> 3] >> (at & 7) & 1 == 1))
+            batch = batch.filter(pa.array(marked(marks.value, batch.column(2).to_numpy(zero_copy_only=False))))
             for at, texts in slices(batch.column(1)):
                 sets = shingle_sets(texts)
                 values = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
@@ -170,16 +166,6 @@ def _shingled(marks):
     return run
 
 
-def marked(nodes: DataFrame, mark):
-    """A broadcast bitmap of MARKS bits, a fixed size, in which the marks of all nodes are set."""
-    page = 8 * 4096
-    pages = nodes.select(mark("node").alias("m")).groupBy(F.floor(F.col("m") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("m") % page).alias("bits")).collect()
-    out = np.zeros(MARKS // 8, np.uint8)
-    for r in pages:
-        out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return nodes.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections between two small lists of sets, by counting shared members in slices."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -241,8 +227,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     met, _ = stage(members.join(buckets, "bucket").where("node <> centre").groupBy("centre", "node").agg(F.max("size").alias("size")), "met")
     nodes = met.select("node").union(met.select(F.col("centre").alias("node"))).distinct()
     # Texts outside the bitmap of wanted ids are passed over where they are read; only sets go to the join.
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
-    found = given.where("doc_id IS NOT NULL").select("doc_id", "text", mark("doc_id").alias("mark")).mapInArrow(_shingled(marked(nodes, mark)), "node long, members array<long>")
+    found = given.where("doc_id IS NOT NULL").select("doc_id", "text", mark("doc_id").alias("mark")).mapInArrow(_shingled(bitmap(nodes, "node")), "node long, members array<long>")
     # A repeated id gives several sets; links of any of them count.
     sets, _ = stage(found.join(nodes, "node", "left_semi"), "sets")
 
