@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage_path, table
+from docloom.llm.common import bitmap, mark, only_marked, stage, stage_path, table
 from docloom.ship import ship
 
 #: Payload bytes of an archive file, about.
@@ -175,31 +175,58 @@ def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.repartition(F.col("path")).mapInArrow(_read(payloads), READ)
+    return files.mapInArrow(_read(payloads), READ)
 
 
 # --- Writing ---------------------------------------------------------------
 
 
-def _frame(batches):
-    for batch in batches:
-        page, url, html, first = (batch.column(i) for i in range(4))
-        lines = [record(page[i].as_py(), url[i].as_py(), (html[i].as_py() or "").encode("utf-8", "surrogatepass"), first[i].as_py()) for i in range(len(page))]
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
+def _frame(bits=None):
+    """Records of page_id, url, html and refers_to; with bits, of the rows whose mark is not set."""
 
+    def run(batches):
+        for batch in batches if bits is None else only_marked(bits, 4, False)(batches):
+            page, url, html, first = (batch.column(i) for i in range(4))
+            lines = [record(page[i].as_py(), url[i].as_py(), (html[i].as_py() or "").encode("utf-8", "surrogatepass"), first[i].as_py()) for i in range(len(page))]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
 
-def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: the smallest page_id with the same payload, null for that page itself.
+    return run
 
-    Payloads are equal if length, SHA-1 and SHA-256 are. Payloads below
-    min_bytes are always written in full. A group is counted with map-side
-    combining and found by its keys, so a payload of very many pages only
-    meets in the join, which Spark splits.
-    """
+
+PAYLOAD = ["n", "h1", "h2"]
+PAGE = "page_id long, url string, html string, n int, h1 string, h2 string, mark long"
+
+
+def _hashed(pages: DataFrame) -> DataFrame:
     html = F.coalesce(pages["html"], F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(html).alias("n"), F.sha1(html).alias("h1"), F.sha2(html, 256).alias("h2"))
-    groups = own.where(F.col("n") >= min_bytes).groupBy("n", "h1", "h2").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).where("pages > 1").drop("pages")
-    return own.join(groups, ["n", "h1", "h2"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    return own.withColumn("mark", mark(*PAYLOAD))
+
+
+def shared_payloads(own: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The payloads of min_bytes or more that several rows have, and the smallest page_id of each.
+
+    Payloads are equal if length, SHA-1 and SHA-256 are. Groups are counted
+    with map-side combining; only hashes are shuffled.
+    """
+    groups = own.where(F.col("n") >= min_bytes).groupBy(*PAYLOAD).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    return stage(groups.drop("pages"), "payloads")[0]
+
+
+def _referring(own: DataFrame, groups: DataFrame, bits) -> DataFrame:
+    """page_id, url, html, refers_to of the rows whose payload may be shared. The join splits very large groups."""
+    some = own.mapInArrow(only_marked(bits, 6), PAGE)
+    return some.join(groups, PAYLOAD, "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+
+
+def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, url, html, refers_to: the smallest page_id with the same payload, null for that page itself and for payloads below min_bytes."""
+    ship(pages.sparkSession)
+    own = _hashed(pages)
+    groups = shared_payloads(own, min_bytes)
+    bits = bitmap(groups, *PAYLOAD)
+    alone = own.mapInArrow(only_marked(bits, 6, False), PAGE).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    return alone.union(_referring(own, groups, bits))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
@@ -207,14 +234,21 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int
 
     Null html is an empty payload; a null page_id has an empty record id and is
     never the page that others refer to unless all of its group are null. Rows
-    that repeat page_id and html are all responses if that page is. File sizes
-    follow file_bytes by the number of files.
+    that repeat page_id and html are all responses if that page is. A file
+    takes as many records as fill file_bytes on average, so a page of any
+    length is whole in one file. Pages are written where they are read; only
+    those whose payload may be shared are joined with the page they refer to.
     """
     ship(pages.sparkSession)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    framed = with_references(pages, min_bytes).repartition(max(1, -(-total // file_bytes))).mapInArrow(_frame, "value binary")
+    size = pages.agg(F.sum(F.octet_length("html")), F.count(F.lit(1))).first()
+    own = _hashed(pages)
+    groups = shared_payloads(own, min_bytes)
+    bits = bitmap(groups, *PAYLOAD)
+    alone = own.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), "mark").mapInArrow(_frame(bits), "value binary")
+    framed = alone.union(_referring(own, groups, bits).mapInArrow(_frame(), "value binary"))
+    most = max(1, file_bytes * size[1] // max(size[0] or 1, 1)) if size[1] else 1
     # The writer takes strings; the cast keeps the bytes as they are.
-    framed.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
+    framed.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
