@@ -42,7 +42,7 @@ def dropped_lines(digests: DataFrame, min_docs: int = 3) -> DataFrame:
     """The rows of digests that go: doc_id, text_tag, pos."""
     tagged = digests.withColumn("tag", F.xxhash64("digest"))
     top = tagged.agg(F.expr(f"approx_top_k(tag, {HOT_KEYS}, {HOT_KEYS * 64})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    hot = [x["item"] for x in top["top"] or [] if x["count"] >= max(10_000, top["n"] * HOT_SHARE)]
+    hot = [x["item"] for x in top["top"] or [] if x["count"] >= max(3, top["n"] * HOT_SHARE)]
 
     cold = tagged.where(~F.col("tag").isin(hot)) if hot else tagged
     newest = Window.partitionBy("digest").orderBy(F.col("doc_id").desc_nulls_last())
