@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import stage, table
 from docloom.ship import ship
 
 #: Words in the lexicon, at most; bounds what the driver compiles.
@@ -431,10 +431,23 @@ def _count(model_text):
 
 
 def frequent_words(docs: DataFrame, model_text, text: str = "text", limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of all documents; ties go to the word that sorts first."""
+    """The most frequent words of all documents, at most `limit`: all words above the least count that leaves no more.
+
+    The counts' histogram in steps of a quarter octave, some 250 numbers, gives
+    that count, so that no task sends the driver more than its share of the words.
+    """
     counted = docs.select(docs[text].alias("text")).mapInArrow(_count(model_text), "word binary, n long")
-    top = counted.where(f"octet_length(word) BETWEEN 1 AND {LEXICON_BYTES}").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [bytes(r["word"]) for r in top.select("word").collect()]
+    total, _ = stage(counted.where(f"octet_length(word) BETWEEN 1 AND {LEXICON_BYTES}").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    step = F.floor(F.log2("n") * 4)
+    least, held = None, 0
+    for r in sorted(total.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > limit:
+            break
+        least = r["s"]
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in total.where(step >= least).select("word").collect())
 
 
 def _lexicon(name: str) -> Lexicon:
