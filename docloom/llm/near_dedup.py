@@ -31,8 +31,8 @@ WIDTH = 5
 PERCENT = 75
 PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
-#: Members of a block in the comparison of what stars leave open.
-BLOCK = 256
+#: Members, and shingles of all members, of a block in the comparison of what stars leave open, about.
+BLOCK, BLOCK_SHINGLES = 2048, 400_000
 #: Bytes of text or shingle values that are worked on at once.
 CHUNK = 1 << 20
 
@@ -172,16 +172,21 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     lv, rv = np.concatenate(left), np.concatenate(right)
     li, ri = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
     shared = np.intersect1d(lv, rv)  # what only one side has, counts nowhere
-    for at in range(0, len(shared), 4096):
-        part = shared[at : at + 4096]
-        sides = []
-        for v, i, n in ((lv, li, len(left)), (rv, ri, len(right))):
-            pos = np.searchsorted(part, v)
-            hit = part[np.minimum(pos, len(part) - 1)] == v
-            m = np.zeros((n, len(part)), np.float32)
-            m[i[hit], pos[hit]] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
+    if not len(shared):
+        return out
+    sides = []
+    for v, i in ((lv, li), (rv, ri)):
+        pos = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+        hit = shared[pos] == v
+        sides.append((pos[hit], i[hit]))
+    for at in range(0, len(shared), 2048):
+        parts = []
+        for (pos, i), n in zip(sides, (len(left), len(right)), strict=True):
+            own = (pos >= at) & (pos < at + 2048)
+            m = np.zeros((n, min(2048, len(shared) - at)), np.float32)
+            m[i[own], pos[own] - at] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
     return out
 
 
@@ -236,7 +241,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sized = pairs.select("m.node", "m.centre", F.size("x.members").cast("long").alias("p"), F.size("y.members").cast("long").alias("q"), size.alias("i"))
     links, _ = stage(sized.where(F.expr(f"100 * i >= {PERCENT} * (p + q - i)")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "links")
     first = connected_components(links)
-    parts, _ = stage(nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
+    sizes = classes.groupBy("node").agg(F.max("n").alias("n"))
+    parts, _ = stage(nodes.join(first, "node", "left").join(sizes, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n"), "parts")
 
     found = _open_links(met, parts, sets)
     merged = connected_components(found)
@@ -267,8 +273,10 @@ def _open_links(met: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     """
     part = parts.withColumnRenamed("component", "part")
     stars = met.join(part, "node").join(part.select(F.col("node").alias("centre"), F.col("part").alias("home")), "centre")
-    unsettled = stars.groupBy("centre").agg(F.max("size").alias("size"), F.sum((F.col("part") != F.col("home")).cast("long")).alias("open"), F.count(F.lit(1)).alias("all")).where("size > 2 AND open > 0 AND all > 1")
-    unsettled, _ = stage(unsettled.select("centre", F.ceil(F.col("open") / BLOCK).cast("int").alias("open_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "unsettled")
+    apart = F.col("part") != F.col("home")
+    unsettled = stars.groupBy("centre").agg(F.max("size").alias("size"), F.count_if(apart).alias("open"), F.sum(F.when(apart, F.col("n"))).alias("open_n"), F.count(F.lit(1)).alias("all"), F.sum("n").alias("all_n")).where("size > 2 AND open > 0 AND all > 1")
+    blocks = lambda n, shingles: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+    unsettled, _ = stage(unsettled.select("centre", blocks("open", "open_n").alias("open_blocks"), blocks("all", "all_n").alias("blocks")), "unsettled")
     rows = stars.join(unsettled, "centre")
     own, others = F.pmod(F.xxhash64("node"), "open_blocks"), F.pmod(F.xxhash64("node"), "blocks")
 
