@@ -2,8 +2,12 @@
 
 The network predicts each token from the WINDOW tokens on either side: every
 offset has a table of hidden vectors, their sum goes through tanh, and a
-softmax over the vocabulary follows. A document's score is the sum of the
-log-probabilities of its tokens, each given both sides.
+softmax over classes of words follows. The most frequent words are a class
+each, all others share classes. A word's probability is that of its class,
+given both sides, times the word's share of the class by its count in all
+documents, so every distinct word has a probability of its own and those of all
+words add up to 1. A document's score is the sum of the log-probabilities of
+its words.
 
 All documents take part in everything: in the word counts that give the
 vocabulary, in training and in scoring. Training runs in ROUNDS rounds, each
@@ -15,6 +19,7 @@ sums. The driver sees FAN_IN networks at a time, whatever the number of tasks.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -27,13 +32,17 @@ from docloom.llm.common import stage, table
 from docloom.llm.near_dedup import slices, words
 from docloom.ship import ship
 
-#: Token 0 stands beyond the ends; then come the FREQUENT most frequent words; all others share the rest by their last two bytes.
+#: Classes: token 0 stands beyond the ends; then come the FREQUENT most frequent words; all others share the rest by their last two bytes.
 VOCABULARY, FREQUENT = 256, 191
 WINDOW, HIDDEN = 2, 32
 ROUNDS, RATE, BATCH, NEGATIVES = 3, 0.1, 2048, 64
 FAN_IN = 16
 #: Distinct words that a task holds at once.
 HELD_WORDS = 200_000
+#: Words whose counts are broadcast, at most; the counts of all others are joined.
+HEAD_WORDS = 100_000
+#: Logarithms of counts are whole numbers of 1 / SCALE, so that sums do not depend on the order of tasks.
+SCALE = 10**9
 #: Tokens scored at once.
 TOKENS = 1 << 14
 
@@ -62,13 +71,36 @@ def _count(batches):
     yield from rows()
 
 
-def vocabulary(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> list[bytes]:
-    """The most frequent words of all documents; ties go to the word that sorts first."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n of every distinct word of all documents."""
     ship(docs.sparkSession)
-    counted = docs.select(docs[text].alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text].alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame, frequent: int = FREQUENT) -> list[bytes]:
     return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(frequent).collect()]
 
 
+def vocabulary(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> list[bytes]:
+    """The most frequent words of all documents; ties go to the word that sorts first."""
+    return most_frequent(word_counts(docs, text), frequent)
+
+
+def head_counts(counted: DataFrame, most: int = HEAD_WORDS) -> dict[bytes, int]:
+    """Counts of all words above the least power of two that leaves at most `most` of them."""
+    power = F.length(F.bin("n"))
+    left, least = most, None
+    for r in counted.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("power")).collect():
+        if r["words"] > left:
+            break
+        left, least = left - r["words"], r["power"]
+    return {} if least is None else {bytes(r["word"]): r["n"] for r in counted.where(power >= least).collect()}
+
+
+def scaled_log(n: int) -> int:
+    return round(math.log(n) * SCALE)
+
+
 class Ids(dict):
     """Ids of words; rare ones are worked out by their last two bytes and not held beyond a bound."""
 
@@ -84,14 +116,31 @@ class Ids(dict):
         return i
 
 
-def _tokenise(frequent: list[bytes]):
+def _tokenise(frequent: list[bytes], head=None):
+    """doc_id and tokens of doc_id, text; with head, the broadcast scaled logarithms of counts, of row, text, doc_id also the sum over the words it has and the words it lacks."""
+
+    def counted(batches):
+        ids, logs = Ids(frequent), head.value | dict.fromkeys(frequent, 0)
+        for batch in batches:
+            for at, texts in slices(batch.column(1)):
+                tokens, known, tail = [], [], []
+                for t in texts:
+                    ws = words(t)
+                    own = list(map(logs.get, ws))
+                    rest = [w for w, v in zip(ws, own, strict=True) if v is None] if None in own else []
+                    tokens.append(bytes(map(ids.__getitem__, ws)))
+                    known.append(sum(filter(None, own)))
+                    tail.append(rest)
+                columns = [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(tokens, pa.binary()), pa.array(known, pa.int64()), pa.array(tail, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "tokens", "known", "tail"])
+
     def run(batches):
         ids = Ids(frequent)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([bytes(map(ids.__getitem__, words(t))) for t in texts], pa.binary())], names=["doc_id", "tokens"])
 
-    return run
+    return run if head is None else counted
 
 
 # --- The network -----------------------------------------------------------
@@ -229,13 +278,17 @@ def _weigh(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(total / n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The network after one pass over all documents of tokens (doc_id, tokens)."""
-    spark = ship(tokens.sparkSession)
+def class_counts(tokens: DataFrame) -> np.ndarray:
     frequency = np.zeros(VOCABULARY)
-    counts = tokens.select("tokens").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    for i, n in counts:
+    for i, n in tokens.select("tokens").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         frequency[i] = n
+    return frequency
+
+
+def train(tokens: DataFrame, rounds: int = ROUNDS, frequency: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The network after one pass over all documents of tokens (doc_id, tokens)."""
+    spark = ship(tokens.sparkSession)
+    frequency = class_counts(tokens) if frequency is None else frequency
     net = initial()
     net["prior"] = np.log(np.maximum(frequency, 1) / max(frequency.sum(), 1)).astype(np.float32)
     for r in range(rounds):
@@ -257,38 +310,51 @@ def _histogram(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCABULARY), pa.int32()), pa.array(total, pa.int64())], names=["id", "n"])
 
 
-def _score(shared):
+def _score(shared, frequency: list[float]):
+    """row, doc_id, number of tokens and sum of log-probabilities of row, doc_id, tokens, known; without the counts of words in no head."""
+
     def run(batches):
         net = unflat(shared.value)
+        shares = np.array([scaled_log(n) if i > FREQUENT and n else 0 for i, n in enumerate(frequency)], np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                docs = [d or b"" for d in part.column(1).to_pylist()]
+                docs = [d or b"" for d in part.column(2).to_pylist()]
                 joined, at = padded(docs)
                 sizes = np.array([len(d) for d in docs])
-                total = np.concatenate([[0], np.cumsum(log_probabilities(net, joined, at))])
                 ends = np.cumsum(sizes)
-                sums = total[ends] - total[ends - sizes]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(np.round(sums, 6), pa.float64()), pa.array([s / n if n else None for s, n in zip(sums, sizes, strict=True)], pa.float64())], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+                total = np.concatenate([[0], np.cumsum(log_probabilities(net, joined, at))])
+                of_class = np.concatenate([[0], np.cumsum(shares[joined[at]])])
+                within = part.column(3).to_numpy() - (of_class[ends] - of_class[ends - sizes])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(total[ends] - total[ends - sizes], pa.float64()), pa.array(within, pa.int64())], names=["row", "doc_id", "n_tokens", "classes", "within"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, log_prob, mean_log_prob.
 
     Tokens are the whole text's runs of other than [\\x20\\x09-\\x0D], A-Z
-    lower-cased. log_prob sums their log-probabilities given both sides. Null,
-    empty or blank text has no tokens, log_prob 0 and a null mean. Repeated
-    rows train and are scored each. An empty table gives an empty result;
-    other columns are not read.
+    lower-cased. log_prob sums the log-probabilities of these words given both
+    sides: that of the word's class and that of the word in its class, from the
+    counts of all words. The counts of head_words words at most are broadcast;
+    all others are joined by the word itself. Null, empty or blank text has no
+    tokens, log_prob 0 and a null mean. Repeated rows train and are scored
+    each. An empty table gives an empty result; other columns are not read.
     """
     spark = ship(docs.sparkSession)
-    frequent = vocabulary(docs, text)
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("text"))
-    tokens, _ = stage(own.mapInArrow(_tokenise(frequent), "doc_id long, tokens binary"), "tokens")
-    shared = spark.sparkContext.broadcast(flat(train(tokens)))
-    return tokens.mapInArrow(_score(shared), "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    counted, _ = stage(word_counts(docs, text), "words")
+    head = head_counts(counted, head_words)
+    logs = spark.sparkContext.broadcast({w: scaled_log(n) for w, n in head.items()})
+    own = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("text"), docs[id_col].cast("long").alias("doc_id"))
+    tokens, _ = stage(own.mapInArrow(_tokenise(most_frequent(counted), logs), "row long, doc_id long, tokens binary, known long, tail array<binary>"), "tokens")
+    frequency = class_counts(tokens)
+    shared = spark.sparkContext.broadcast(flat(train(tokens, frequency=frequency)))
+    scored = tokens.select("row", "doc_id", "tokens", "known").mapInArrow(_score(shared, frequency.tolist()), "row long, doc_id long, n_tokens long, classes double, within long")
+    tail = tokens.select("row", F.explode("tail").alias("word")).join(counted, "word").groupBy("row").agg(F.sum(F.round(F.log("n") * SCALE).cast("long")).alias("tail"))
+    total = F.round(F.col("classes") + (F.col("within") + F.coalesce("tail", F.lit(0))) / SCALE, 6)
+    done = scored.join(tail, "row", "left").withColumn("log_prob", total)
+    return done.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
