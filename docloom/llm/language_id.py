@@ -20,8 +20,8 @@ from docloom.ship import ship
 
 #: Length of the vectors.
 DIM = 512
-#: Symbols: 0 stands between words, 1 to 26 are a to z, other letters share the rest by code point.
-SYMBOLS = 64
+#: Code points. A letter's symbol is its code point; 0 stands between words.
+POINTS = 0x110000
 #: Characters that are worked on at once; bounds memory for texts of any length.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -30,32 +30,56 @@ _cache: dict = {}
 
 
 def symbols() -> np.ndarray:
-    """Symbol of each code point of the Basic Multilingual Plane."""
+    """Symbol of each code point: its own number if it is a letter, else 0."""
     if "symbols" not in _cache:
-        out = np.zeros(0x10000, np.uint8)
-        for cp in range(0x10000):
-            if 97 <= cp <= 122:
-                out[cp] = cp - 96
-            elif chr(cp).isalpha():
-                out[cp] = 27 + cp % (SYMBOLS - 27)
-        _cache["symbols"] = out
+        _cache["symbols"] = np.fromiter((cp if chr(cp).isalpha() else 0 for cp in range(POINTS)), np.int32, POINTS)
     return _cache["symbols"]
 
 
-def letters(dim: int = DIM) -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 2, (SYMBOLS, dim)).astype(np.float32) * 2 - 1
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def trigram_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
-    """The bound vectors of trigrams, whose code is (a * SYMBOLS + b) * SYMBOLS + c."""
-    own = letters(dim)
+class Letters:
+    """The vectors of all symbols, worked out from hashes of symbol and position where they are asked for."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __getitem__(self, symbol) -> np.ndarray:
+        at = np.asarray(symbol).astype(np.uint64)[..., None] << np.uint64(16) | np.arange(-(-self.dim // 64), dtype=np.uint64)
+        bits = np.unpackbits(_mix(_mix(at + np.uint64(0x9E3779B97F4A7C15))).astype("<u8").view(np.uint8), axis=-1)
+        return bits[..., : self.dim].astype(np.float32) * 2 - 1
+
+
+def letters(dim: int = DIM) -> Letters:
+    return Letters(dim)
+
+
+def trigram_vectors(codes: np.ndarray, alphabet: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The bound vectors of trigrams, whose code is (a * n + b) * n + c with places in the alphabet of n symbols."""
+    own, n = letters(dim)[alphabet], len(alphabet)
     once, twice = np.roll(own, 1, 1), np.roll(own, 2, 1)
-    return twice[codes // SYMBOLS**2] * once[codes // SYMBOLS % SYMBOLS] * own[codes % SYMBOLS]
+    return twice[codes // n**2] * once[codes // n % n] * own[codes % n]
 
 
 def text_symbols(text: str) -> np.ndarray:
-    cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cps < 0x10000, symbols()[cps & 0xFFFF], np.where(cps < 0x20000, 27, 0)).astype(np.int32)
+    return symbols()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+#: Codes that a table of the trigrams in use may have; with larger alphabets they are sorted.
+TABLE = 1 << 22
+
+
+def _places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct symbols, and each value's place among them."""
+    seen = np.zeros(POINTS, np.int32)
+    seen[values] = 1
+    used = np.flatnonzero(seen)
+    seen[used] = np.arange(len(used))
+    return used, seen[values]
 
 
 def bundles(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -66,18 +90,25 @@ def bundles(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.nda
     def flush():
         nonlocal held
         if held:
-            all_codes, all_docs = np.concatenate(codes), np.concatenate(docs)
-            seen = np.zeros(SYMBOLS**3, np.int32)
-            seen[all_codes] = 1
-            used = np.flatnonzero(seen)
-            seen[used] = np.arange(len(used))
+            all_docs = np.concatenate(docs)
+            alphabet, places = _places(np.concatenate(codes, axis=1))
+            size = len(alphabet)
+            all_codes = (places[0].astype(np.int64) * size + places[1]) * size + places[2]
+            if size**3 <= TABLE:
+                seen = np.zeros(size**3, np.int32)
+                seen[all_codes] = 1
+                used = np.flatnonzero(seen)
+                seen[used] = np.arange(len(used))
+                trigram = seen[all_codes]
+            else:
+                used, trigram = np.unique(all_codes, return_inverse=True)
             rows, local = np.unique(all_docs, return_inverse=True)
             for at in range(0, len(rows), 64):
                 pick = (local >= at) & (local < at + 64) if len(rows) > 64 else slice(None)
                 n = min(64, len(rows) - at)
-                counts = np.bincount((local[pick] - at) * len(used) + seen[all_codes[pick]], minlength=n * len(used)).reshape(n, -1)
+                counts = np.bincount((local[pick] - at) * len(used) + trigram[pick], minlength=n * len(used)).reshape(n, -1)
                 for lo in range(0, len(used), 4096):
-                    out[rows[at : at + n]] += counts[:, lo : lo + 4096].astype(np.float32) @ trigram_vectors(used[lo : lo + 4096], dim)
+                    out[rows[at : at + n]] += counts[:, lo : lo + 4096].astype(np.float32) @ trigram_vectors(used[lo : lo + 4096], alphabet, dim)
         docs.clear(), codes.clear()
         held = 0
 
@@ -91,11 +122,10 @@ def bundles(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.nda
             s = s[keep]
             if len(s) < 3:
                 continue
-            c = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-            c = c[s[1:-1] != 0]
+            c = np.stack([s[:-2], s[1:-1], s[2:]])[:, s[1:-1] != 0]
             codes.append(c)
-            docs.append(np.full(len(c), i, np.int64))
-            held += len(c)
+            docs.append(np.full(c.shape[1], i, np.int64))
+            held += c.shape[1]
             if held >= CHUNK // 4:
                 flush()
     flush()
