@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage, table
+from docloom.llm.common import table
 from docloom.ship import ship
 
 #: Length of the vectors.
@@ -180,25 +180,53 @@ def train(labelled: DataFrame, dim: int = DIM) -> dict[str, list[float]]:
     return {k: v for k, v in sorted(out.items()) if any(v)}
 
 
-def _predict(names: list[str], prototypes: np.ndarray):
+def _matrix(prototypes: dict[str, list[float]]) -> np.ndarray:
+    return np.array(list(prototypes.values()), float).reshape(len(prototypes), -1 if prototypes else DIM)
+
+
+def _answers(names: list[str], prototypes: np.ndarray):
+    """Language, score and number of letters of each of some texts."""
     dim = prototypes.shape[1]
     unit = prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True) if len(names) else prototypes
 
+    def answers(texts):
+        vectors, n_letters = bundles(texts, dim)
+        length = np.linalg.norm(vectors, axis=1)
+        known = (n_letters > 0) & (length > 0) & bool(names)
+        cos = vectors @ unit.T / np.where(length > 0, length, 1)[:, None] if names else np.zeros((len(texts), 1))
+        best = cos.argmax(1)
+        langs = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+        return langs, np.where(known, np.clip(cos[np.arange(len(texts)), best], 0, 1), 0.0), n_letters
+
+    return answers
+
+
+def _predict(names: list[str], prototypes: np.ndarray):
+    answers = _answers(names, prototypes)
+
     def run(batches):
         for batch in batches:
             for at, texts in _pieces(batch.column(1)):
-                vectors, n_letters = bundles(texts, dim)
-                length = np.linalg.norm(vectors, axis=1)
-                known = (n_letters > 0) & (length > 0) & bool(names)
-                cos = vectors @ unit.T / np.where(length > 0, length, 1)[:, None] if names else np.zeros((len(texts), 1))
-                best = cos.argmax(1)
-                langs = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                score = np.where(known, np.clip(cos[np.arange(len(texts)), best], 0, 1), 0.0)
+                langs, score, n_letters = answers(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(n_letters, pa.int64())], names=["doc_id", "lang_pred", "score", "n_letters"])
 
     return run
 
 
+def _identified(names: list[str], prototypes: np.ndarray, text: int, min_letters: int, min_score: float):
+    """The rows whose text, in column `text`, is not rejected."""
+    answers = _answers(names, prototypes)
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in _pieces(batch.column(text)):
+                langs, score, n_letters = answers(texts)
+                rejected = (np.array(langs) == UNKNOWN) | (n_letters >= min_letters) & (score < min_score)
+                yield batch.slice(at, len(texts)).filter(pa.array(~rejected))
+
+    return run
+
+
 def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, n_letters.
 
@@ -209,8 +237,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
     answer; other columns are not read.
     """
     ship(docs.sparkSession)
-    m = np.array(list(prototypes.values()), float).reshape(len(prototypes), -1)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(_predict(list(prototypes), m), "doc_id long, lang_pred string, score double, n_letters long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(_predict(list(prototypes), _matrix(prototypes)), "doc_id long, lang_pred string, score double, n_letters long")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -229,8 +256,7 @@ MIN_LETTERS, MIN_SCORE = 200, 0.2
 
 
 def keep_identified(docs: DataFrame, min_letters: int = MIN_LETTERS, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs with a language, with the columns of docs."""
+    """The rows of docs with a language, with the columns of docs. Each row goes or stays by its own text, whatever its doc_id."""
+    ship(docs.sparkSession)
     prototypes = train(docs.where(~held_out() & F.col("lang").isNotNull()))
-    rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("n_letters") >= min_letters) & (F.col("score") < min_score)
-    gone, _ = stage(identify(docs, prototypes).where(rejected).select(F.col("doc_id").alias("_gone")).distinct(), "unidentified")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.mapInArrow(_identified(list(prototypes), _matrix(prototypes), docs.columns.index("text"), min_letters, min_score), docs.schema)
