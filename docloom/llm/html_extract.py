@@ -2,8 +2,8 @@
 
 Each page is parsed once into its elements, in order. An element's subtree hash
 covers its tag, attributes, text and children. Spark counts the subtrees per
-host over the distinct pages of that host; a subtree outside running article
-text that recurs across many of them is template and goes, as do elements whose
+host over the distinct pages of that host; a subtree that recurs across many of
+them is template and goes, within articles too. In addition go elements whose
 tag, role or class says that they are no article text. The rest is joined block
 by block.
 """
@@ -38,8 +38,6 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|widgets?|related|recommended|share|sharing|social|footer|header|masthead|comments?|disqus|replies|respond|pagination|pager|toolbar|search)(?:$|[\s_-])",
     re.I,
 )
-#: Elements that carry the article's running text; within article or main they aren't template however often they recur.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split()) | INLINE
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
 _ATTR = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -187,8 +185,8 @@ def host(url: Column) -> Column:
 
 
 def _candidates(nodes: list[Node]) -> list[int]:
-    """Elements that may be template: with kept text, and no prose of an article."""
-    return [i for i, x in enumerate(nodes) if i and x.has_text and not x.dropped and x.tag not in ("html", "body", "article", "main") and not (x.prose and x.tag in PROSE)]
+    """Elements that may be template: with kept text, and no word or phrase of an article's sentence, which the block around it decides on."""
+    return [i for i, x in enumerate(nodes) if i and x.has_text and not x.dropped and x.tag not in ("html", "body", "article", "main") and not (x.prose and x.tag in INLINE)]
 
 
 def _subtrees(batches):
@@ -254,11 +252,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     html = F.coalesce(pages["html"], F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"), F.unhex(F.md5(html)).alias("content")).withColumn("mark", mark("host", "content"))
     parsed, _ = stage(own.select("host", "content", "html").mapInArrow(_subtrees, "host string, content binary, subtrees array<binary>"), "subtrees")
-    seen = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counts = parsed.dropDuplicates(["host", "content"]).select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     hosts = own.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    template = counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
-    hit, _ = stage(seen.join(template, ["host", "subtree"], "left_semi").groupBy("host", "content").agg(F.collect_set("subtree").alias("gone")), "template")
+    template, _ = stage(counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"), "template_subtrees")
+    seen = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).withColumn("mark", mark("host", "subtree"))
+    some = seen.mapInArrow(only_marked(bitmap(template, "host", "subtree"), 3), "host string, content binary, subtree binary, mark long")
+    hit, _ = stage(some.join(template, ["host", "subtree"], "left_semi").groupBy("host", "content").agg(F.collect_set("subtree").alias("gone")), "template")
 
     text = "page_id long, url string, text string"
     if hit.isEmpty():
