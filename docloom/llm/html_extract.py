@@ -23,6 +23,8 @@ from docloom.ship import ship
 
 #: A subtree is template if it recurs on MIN_PAGES distinct pages of its host and on MIN_SHARE of them.
 MIN_PAGES, MIN_SHARE = 5, 0.3
+#: On so many distinct pages of its host it is template whatever their share, so that the sections of a large host have templates of their own.
+MANY_PAGES = 100
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,7 +237,7 @@ def _extract(bits):
 PAGE = "page_id long, url string, html string, host string, content binary, mark long"
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     Pages are parsed twice: for their subtrees' hashes, which alone are counted
@@ -254,7 +256,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     parsed, _ = stage(own.select("host", "content", "html").mapInArrow(_subtrees, "host string, content binary, subtrees array<binary>"), "subtrees")
     counts = parsed.dropDuplicates(["host", "content"]).select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     hosts = own.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    template, _ = stage(counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"), "template_subtrees")
+    template, _ = stage(counts.join(hosts, "host").where((F.col("n") >= many_pages) | (F.col("n") >= min_share * F.col("pages"))).select("host", "subtree"), "template_subtrees")
     seen = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).withColumn("mark", mark("host", "subtree"))
     some = seen.mapInArrow(only_marked(bitmap(template, "host", "subtree"), 3), "host string, content binary, subtree binary, mark long")
     hit, _ = stage(some.join(template, ["host", "subtree"], "left_semi").groupBy("host", "content").agg(F.collect_set("subtree").alias("gone")), "template")
