@@ -3,9 +3,10 @@
 Every letter has a fixed random vector of +1 and -1. A letter trigram is bound
 from its letters' vectors, permuted (rotated) twice, once and not at all, by
 multiplication. A document bundles the vectors of its trigrams, a language
-those of its documents; a document gets the language whose prototype has the
-largest cosine. All components are whole numbers far below 2**53, so sums do
-not depend on the order of tasks.
+those of its documents, each scaled to the same length, so that no long
+document outweighs the others of its language; a document gets the language
+whose prototype has the largest cosine. All components are whole numbers far
+below 2**53, so sums do not depend on the order of tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ DIM = 512
 POINTS = 0x110000
 #: Characters that are worked on at once; bounds memory for texts of any length.
 CHUNK = 1 << 20
+#: Length to which document vectors are scaled before their components are rounded and bundled.
+SCALE = 1 << 20
+#: Languages that a task holds at once.
+HELD_LANGUAGES = 1024
 UNKNOWN = "und"
 
 _cache: dict = {}
@@ -65,8 +70,8 @@ def trigram_vectors(codes: np.ndarray, alphabet: np.ndarray, dim: int = DIM) ->
     return twice[codes // n**2] * once[codes // n % n] * own[codes % n]
 
 
-def text_symbols(text: str) -> np.ndarray:
-    return symbols()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+def text_symbols(lowered: str) -> np.ndarray:
+    return symbols()[np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 #: Codes that a table of the trigrams in use may have; with larger alphabets they are sorted.
@@ -113,16 +118,17 @@ def bundles(texts: list[str | None], dim: int = DIM) -> tuple[np.ndarray, np.nda
         held = 0
 
     for i, text in enumerate(texts):
-        for at in range(0, len(text or ""), CHUNK):
-            s = text_symbols(text[at : at + CHUNK])
-            n_letters[i] += np.count_nonzero(s)
-            s = np.concatenate([[0], s, [0]])
-            keep = np.ones(len(s), bool)
-            keep[1:] = (s[1:] != 0) | (s[:-1] != 0)  # what lies between two words counts as one
-            s = s[keep]
-            if len(s) < 3:
+        lowered = (text or "").lower()
+        for at in range(0, len(lowered), CHUNK):
+            # A cut text is read with the characters on either side of the cuts, so it has the trigrams of the whole.
+            stop = min(at + CHUNK, len(lowered))
+            s = text_symbols(lowered[max(at - 1, 0) : stop + 1])
+            s = np.concatenate([[0] * (at == 0), s, [0] * (stop == len(lowered))]).astype(np.int32)
+            inner = s[1:-1] != 0
+            n_letters[i] += np.count_nonzero(inner)
+            c = np.stack([s[:-2], s[1:-1], s[2:]])[:, inner]
+            if not c.shape[1]:
                 continue
-            c = np.stack([s[:-2], s[1:-1], s[2:]])[:, s[1:-1] != 0]
             codes.append(c)
             docs.append(np.full(c.shape[1], i, np.int64))
             held += c.shape[1]
@@ -146,21 +152,33 @@ def _pieces(texts: pa.Array):
         i = j
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length SCALE, in whole numbers; zero vectors stay."""
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.rint(vectors * (SCALE / np.where(length > 0, length, 1)))
+
+
 def _profile(dim: int):
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def rows():
+            for lang, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim), pa.int32()), pa.array(v, pa.float64())], names=["lang", "i", "v"])
+
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for at, texts in _pieces(batch.column(1)):
-                vectors, _ = bundles(texts, dim)
-                for i, v in enumerate(vectors):
+                for i, v in enumerate(scaled(bundles(texts, dim)[0])):
                     lang = langs[at + i]
                     if lang in sums:
                         sums[lang] += v
                     else:
-                        sums[lang] = v.copy()
-        for lang, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim), pa.int32()), pa.array(v, pa.float64())], names=["lang", "i", "v"])
+                        sums[lang] = v
+            if len(sums) > HELD_LANGUAGES:
+                yield from rows()
+                sums.clear()
+        yield from rows()
 
     return run
 
@@ -181,13 +199,13 @@ def train(labelled: DataFrame, dim: int = DIM) -> dict[str, list[float]]:
 
 
 def _matrix(prototypes: dict[str, list[float]]) -> np.ndarray:
-    return np.array(list(prototypes.values()), float).reshape(len(prototypes), -1 if prototypes else DIM)
+    return np.array(list(prototypes.values()), float) if prototypes else np.zeros((0, DIM))
 
 
 def _answers(names: list[str], prototypes: np.ndarray):
     """Language, score and number of letters of each of some texts."""
     dim = prototypes.shape[1]
-    unit = prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True) if len(names) else prototypes
+    unit = prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)
 
     def answers(texts):
         vectors, n_letters = bundles(texts, dim)
@@ -245,6 +263,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify() over documents, with prototypes of all labelled documents outside the held-out fold. Edge cases are identify()'s; a null doc_id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     prototypes = train(docs.where(~held_out() & F.col("lang").isNotNull()))
     return identify(docs, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -256,7 +275,13 @@ MIN_LETTERS, MIN_SCORE = 200, 0.2
 
 
 def keep_identified(docs: DataFrame, min_letters: int = MIN_LETTERS, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs with a language, with the columns of docs. Each row goes or stays by its own text, whatever its doc_id."""
+    """The rows of docs with a language, with the columns of docs, whatever their names.
+
+    Each row goes or stays by its own text, whatever its doc_id, so rows with a
+    null or repeated id and repeated rows need no rule. Null, empty and
+    letter-free texts go, and so does every text if no row has a label. Texts of
+    any length are read whole. An empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     prototypes = train(docs.where(~held_out() & F.col("lang").isNotNull()))
     return docs.mapInArrow(_identified(list(prototypes), _matrix(prototypes), docs.columns.index("text"), min_letters, min_score), docs.schema)

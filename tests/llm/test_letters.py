@@ -24,3 +24,20 @@ def test_large_alphabets_give_the_vectors_of_small_ones(monkeypatch):
     monkeypatch.setattr(language_id, "TABLE", 1 << 28)
     table, m = language_id.bundles(text, 64)
     assert np.array_equal(sorted_, table) and n.tolist() == m.tolist()
+
+
+def test_one_long_document_does_not_outweigh_its_language(spark):
+    long = "zzz yyy xxx " * 3000
+    rows = [(i, "the house and the garden and the river", "en") for i in range(20)] + [(50, long, "en"), (51, "das haus und der garten und der fluss", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert got[3]["lang_pred"] == "en" and got[3]["score"] > 0.9
+    assert got[51]["lang_pred"] == "de"
+
+
+def test_a_cut_text_has_the_vector_of_the_whole(monkeypatch):
+    text = "Über den Wolken, it's 12 o'clock! " * 20
+    whole, n = language_id.bundles([text], 64)
+    monkeypatch.setattr(language_id, "CHUNK", 17)
+    again, m = language_id.bundles([text], 64)
+    assert (whole == again).all() and n == m
