@@ -31,10 +31,11 @@ SLICE = 1024
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(int8 matrix, scales, norms of the quantised vectors, norms of the residues, squared norms) of the rows of x (double)."""
-    scale = np.abs(x).max(1) / 127
+    scale = np.maximum(np.abs(x).max(1) / 127, np.finfo(float).tiny)
     q = np.rint(x / scale[:, None]).astype(np.int8)
     back = q * scale[:, None]
-    return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1), (x * x).sum(1)
+    with np.errstate(over="ignore"):
+        return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1), (x * x).sum(1)
 
 
 def tile_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,21 +47,31 @@ def tile_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bounds(p, q) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest possible squared distances between two quantised blocks."""
+    """Least and greatest possible squared distances between two quantised blocks.
+
+    Where the numbers are too large for a bound, it is minus or plus infinity, so that the pair survives.
+    """
+    with np.errstate(all="ignore"):
+        return _bounds(p, q)
+
+
+def _bounds(p, q) -> tuple[np.ndarray, np.ndarray]:
     dot = tile_products(p[0], q[0]) * p[1][:, None] * q[1][None, :]
     # <x, y> = <x', y'> + <x - x', y'> + <x, y - y'>, and |x| <= |x'| + |x - x'|.
     slack = p[3][:, None] * q[2][None, :] + (p[2] + p[3])[:, None] * q[3][None, :]
     middle = p[4][:, None] + q[4][None, :] - 2 * dot
     slack = 2 * slack + 1e-9 * (p[4][:, None] + q[4][None, :])  # and rounding in double precision
-    return middle - slack, middle + slack
+    known = np.isfinite(middle) & np.isfinite(slack)
+    return np.where(known, middle - slack, -np.inf), np.where(known, middle + slack, np.inf)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows in double precision, summed in order of the components."""
     total = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        d = x[:, i] - y[:, i]
-        total += d * d
+    with np.errstate(over="ignore"):
+        for i in range(x.shape[1]):
+            d = x[:, i] - y[:, i]
+            total += d * d
     return np.sqrt(total)
 
 
@@ -147,18 +158,21 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, block_bytes:
     total = ordered.agg(F.sum(F.size("v") * 8 + 64), F.count(F.lit(1))).first()
     blocks = max(1, -(-(total[0] or 0) // block_bytes))
     dealt = ordered.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
+    done = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for b in range(blocks):
-        # About block_bytes, whatever the number of queries.
+        # About block_bytes, whatever the number of queries. One block at a time is held by the driver and the tasks.
         rows = dealt.where(F.col("block") == b).select("vec_id", "v").toPandas()
         if not len(rows):
             continue
         block = spark.sparkContext.broadcast((rows["vec_id"].tolist(), [np.asarray(v, float) for v in rows["v"]]))
-        part = candidates.select("vec_id", "v").mapInArrow(_search(block, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    # Each task has sent at most k rows per query. They meet in two steps, so that no task gets those of all.
+        found, _ = stage(_ranked(candidates.select("vec_id", "v").mapInArrow(_search(block, k), "query_id long, vec_id long, score double"), k), "nearest")
+        block.destroy()
+        done = done.union(found)
+    return done
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of what tasks have sent, k rows a query each at most. They meet in two steps, so that no task gets those of all."""
     salted = Window.partitionBy("query_id", "salt").orderBy("score", "vec_id")
     final = Window.partitionBy("query_id").orderBy("score", "vec_id")
     some = found.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k)
@@ -166,6 +180,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, block_bytes:
 
 
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    """nearest() over embeddings: vectors with an id divisible by 100 against all others. Unusable vectors take no part; the other edge cases are nearest()'s."""
     vectors = usable(table(spark, sf_dir, "embeddings"))
     return nearest(vectors.where("vec_id % 100 = 0"), vectors)
 
