@@ -251,8 +251,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     own = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
     if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():
         own = _tie_repeated(usable, own)
-    out = signed.join(own, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    # Rows with a null id find no component, even of an equal text.
+    out = signed.join(own, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _tie_repeated(usable: DataFrame, own: DataFrame) -> DataFrame:
