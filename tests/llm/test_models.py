@@ -199,7 +199,7 @@ def test_log_probabilities_sum_to_one_and_ignore_the_token_itself():
 
 def test_training_learns_both_sides():
     rng = np.random.default_rng(1)
-    docs = [bytes([x for _ in range(30) for x in (a := int(rng.integers(1, 20)), a + 100, a + 50)]) for _ in range(300)]
+    docs = [bytes([x for a in rng.integers(1, 20, 30).tolist() for x in (a, a + 100, a + 50)]) for _ in range(300)]
     tokens, at = lm_scoring.padded(docs)
     trainer = lm_scoring.Trainer(lm_scoring.initial(), np.bincount(tokens, minlength=256).astype(float))
     before = lm_scoring.log_probabilities(trainer.net, tokens, at).mean()
