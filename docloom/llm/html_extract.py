@@ -5,8 +5,9 @@ covers its tag, attributes, text and children. Spark counts all subtrees with
 text per host, those of menus and footers and those within articles alike; a
 subtree that recurs across many different pages of its host is template and is
 deleted. Pages are different if they differ in their main block, the longest
-one outside the subtree, so that copies of a page do not make its text a
-template. In a second step go the elements that are left and whose tag, role or
+one outside the subtree, so that copies and near copies of a page do not make
+its text a template. Within articles a subtree must recur on most pages of the
+host, as articles may share lines and passages. In a second step go the elements that are left and whose tag, role or
 class says that they are no article text. The rest is joined block by block.
 """
 
@@ -28,6 +29,8 @@ from docloom.ship import ship
 MIN_PAGES, MIN_SHARE = 5, 0.3
 #: On so many different pages of its host it is template whatever their share, so that the sections of a large host have templates of their own.
 MANY_PAGES = 100
+#: Within articles it is template only if it recurs on this share of its host's pages.
+ARTICLE_SHARE = 0.5
 #: Template subtrees that are broadcast, at most (8 bytes each); more are joined.
 HELD_TEMPLATES = 1 << 20
 #: Share of a page's text above which an element is its frame, whatever its name.
@@ -301,12 +304,18 @@ def _number(*parts: bytes) -> int:
 
 
 def key(host_: str, node: Node) -> int:
-    """The number of a subtree of a host."""
-    return _number(host_.encode("utf-8", "surrogatepass"), node.hash)
+    """The number of a subtree of a host, within articles another than outside."""
+    return _number(host_.encode("utf-8", "surrogatepass"), node.hash, b"article" if node.prose else b"")
+
+
+#: The slot of all that lies in articles.
+ARTICLE = 1
 
 
 def _slot(host_: str, node: Node) -> int:
     """The number of the part of the host's pages that an element is, by its tag, class, id and role; 0 if it is none."""
+    if node.prose:
+        return ARTICLE
     given = _attributes(node.attrs) if node.attrs else {}
     name = [given.get(x, "") for x in ("class", "id", "role")]
     if node.tag not in PARTS and not any(name):
@@ -315,23 +324,32 @@ def _slot(host_: str, node: Node) -> int:
 
 
 def _contexts(nodes: list[Node]) -> list[tuple[int, int]]:
-    """(element, number of the page's longest block outside it) of each candidate."""
+    """(element, number that stands for the page's longest block outside it) of each candidate."""
     found = _walk(nodes, [False] * len(nodes), False, spans=True)
-    texts = [t.encode("utf-8", "surrogatepass") for _, t in found]
+    texts = [t.lower() for _, t in found]
     # The longest block of the first and of the last so many; of equally long ones the first of the page.
-    before, after = [b""], [b""]
+    before, after = [""], [""]
     for t in texts:
         before.append(t if len(t) > len(before[-1]) else before[-1])
     for t in reversed(texts):
         after.append(t if len(t) >= len(after[-1]) else after[-1])
-    out = []
+    out, marks = [], {}
     for i in candidates(nodes):
         start, stop = nodes[i].span
         a, b = before[start], after[len(found) - stop]
-        out.append((i, _number(a if len(a) >= len(b) else b)))
+        main = a if len(a) >= len(b) else b
+        if main not in marks:
+            marks[main] = _least_pair(main)
+        out.append((i, marks[main]))
     return out
 
 
+def _least_pair(text: str) -> int:
+    """The least number of the pairs of neighbouring words of a text: mostly the same for near copies."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    return min((_number(a, b) for a, b in zip(words, words[1:] or [b""])), default=0)
+
+
 _SUBTREES = pa.schema([("host", pa.int64()), ("content", pa.int64()), ("key", pa.int64()), ("slot", pa.int64()), ("context", pa.int64())])
 
 
@@ -401,7 +419,7 @@ def template_subtrees(seen: DataFrame, sizes: DataFrame, min_pages: int = MIN_PA
     those are at least half of all its pages, which copies are not. It is template
     if it recurs on min_share of its host's pages or on many_pages, or if the
     keys that recur in the same slot (a menu with a few versions, say) do so
-    together.
+    together. Within articles it must recur on ARTICLE_SHARE of the pages.
     """
     often = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("key")
     often, _ = stage(often, "often")
@@ -411,10 +429,11 @@ def template_subtrees(seen: DataFrame, sizes: DataFrame, min_pages: int = MIN_PA
     pages = some.join(often, "key", "left_semi").groupBy("host", "key", "slot", "context", "content").agg(n.alias("n"))
     keys = pages.groupBy("host", "key", "slot", "context").agg(n.alias("pages")).groupBy("host", "key", "slot").agg(n.alias("contexts"), F.sum("pages").alias("pages"))
     recur, _ = stage(keys.where((F.col("contexts") >= min_pages) & (2 * F.col("contexts") >= F.col("pages"))), "recurring")
-    slots = recur.where("slot <> 0").groupBy("host", "slot").agg(F.sum("contexts").alias("together"))
+    slots = recur.where(~F.col("slot").isin(0, ARTICLE)).groupBy("host", "slot").agg(F.sum("contexts").alias("together"))
     judged = recur.join(slots, ["host", "slot"], "left").join(sizes, "host")
     enough = F.greatest("contexts", F.coalesce("together", F.lit(0)))
-    return judged.where((enough >= many_pages) | (enough >= min_share * F.col("host_pages"))).select("key").distinct()
+    outside = (enough >= many_pages) | (enough >= min_share * F.col("host_pages"))
+    return judged.where(F.when(F.col("slot") == ARTICLE, F.col("contexts") >= ARTICLE_SHARE * F.col("host_pages")).otherwise(outside)).select("key").distinct()
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, names: bool = True, held_templates: int = HELD_TEMPLATES) -> DataFrame:
