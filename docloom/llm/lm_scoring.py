@@ -1,26 +1,32 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-The network predicts each token from the WINDOW tokens on either side: every
-offset has a table of hidden vectors, their sum goes through tanh, and a
-softmax over classes of words follows. The most frequent words are a class
-each, all others share classes. A word's probability is that of its class,
-given both sides, times the word's share of the class by its count in all
-documents, so every distinct word has a probability of its own and those of all
-words add up to 1. A document's score is the sum of the log-probabilities of
-its words.
+The network predicts each word from the WINDOW words on either side. Every
+offset has a table with a hidden vector for each word of the vocabulary; their
+sum goes through tanh. Two softmax levels follow: over classes, and over the
+words within a class. The most frequent words are a class each; all others
+share classes by their last two bytes. The vocabulary grows with the corpus:
+it has every word that occurs MIN_COUNT times in all documents, up to
+FREQUENT + MAX_WORDS, the bound of what is broadcast and sent back. All words
+beyond it, however rare, have a probability of their own too: that of their
+class's remainder, given both sides, times the word's share of that remainder
+by its count in all documents. The probabilities of all words add up to 1. A
+document's score is the sum of the log-probabilities of its words.
 
 All documents take part in everything: in the word counts that give the
 vocabulary, in training and in scoring. Training runs in ROUNDS rounds, each
-over its own share of the documents. In a round, every task starts from the
-common network, goes once through its documents, and sends its network back;
-the networks are averaged, weighted by their tokens, in two steps of streamed
-sums. The driver sees FAN_IN networks at a time, whatever the number of tasks.
+over its own share of the documents. They are dealt to tasks of about
+TASK_TOKENS words by hash and sorted there, so that the result depends on the
+documents alone and not on how the input is split. In a round, every task
+starts from the common network, goes once through its documents, and sends its
+network back; the networks are averaged, weighted by their words, in levels of
+FAN_IN streamed sums. The driver gets one network a round.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -32,10 +38,14 @@ from docloom.llm.common import stage, table
 from docloom.llm.near_dedup import slices, words
 from docloom.ship import ship
 
-#: Classes: token 0 stands beyond the ends; then come the FREQUENT most frequent words; all others share the rest by their last two bytes.
+#: Classes: 0 stands beyond the ends; then come the FREQUENT most frequent words; all others share the rest by their last two bytes.
 VOCABULARY, FREQUENT = 256, 191
+#: Further words of the vocabulary: all with MIN_COUNT occurrences, the most frequent first, MAX_WORDS at most.
+MIN_COUNT, MAX_WORDS = 64, 4096
 WINDOW, HIDDEN = 2, 32
-ROUNDS, RATE, BATCH, NEGATIVES = 3, 0.1, 2048, 64
+ROUNDS, RATE, BATCH, NEGATIVES = 3, 0.1, 4096, 64
+#: Words that a training task goes through, and that a scoring task scores, about.
+TASK_TOKENS = 1_500_000
 FAN_IN = 16
 #: Distinct words that a task holds at once.
 HELD_WORDS = 200_000
@@ -44,7 +54,9 @@ HEAD_WORDS = 100_000
 #: Logarithms of counts are whole numbers of 1 / SCALE, so that sums do not depend on the order of tasks.
 SCALE = 10**9
 #: Tokens scored at once.
-TOKENS = 1 << 14
+TOKENS = 1 << 12
+#: Exponents that are taken as they are; larger ones are taken relative to the largest of their row.
+SAFE = 60.0
 
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
@@ -101,26 +113,62 @@ def scaled_log(n: int) -> int:
     return round(math.log(n) * SCALE)
 
 
+def shared_class(word: bytes) -> int:
+    shared = VOCABULARY - 1 - FREQUENT
+    return VOCABULARY - shared + zlib.crc32(word[-2:]) % shared
+
+
+class Layout:
+    """The classes of a vocabulary's words and their places in the inner level.
+
+    Ids below VOCABULARY are classes; as a word, the id of a shared class stands
+    for all its words beyond the vocabulary. From VOCABULARY on come the
+    vocabulary's words with a place in a shared class.
+    """
+
+    def __init__(self, further: list[bytes] | tuple = ()):
+        self.classes = np.concatenate([np.arange(VOCABULARY), [shared_class(w) for w in further]]).astype(np.int64)
+        members = [i for i in range(VOCABULARY + len(further)) if self.classes[i] > FREQUENT]
+        members.sort(key=lambda i: (self.classes[i], i))
+        self.members = np.array(members, np.int64)
+        self.place = np.zeros(len(self.classes), np.int64)
+        self.place[self.members] = np.arange(len(members))
+        self.size = np.bincount(self.classes[self.members], minlength=VOCABULARY)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+
+    def __len__(self) -> int:
+        return len(self.classes)
+
+    @property
+    def dtype(self):
+        return np.uint16 if len(self) > VOCABULARY else np.uint8
+
+
 class Ids(dict):
-    """Ids of words; rare ones are worked out by their last two bytes and not held beyond a bound."""
+    """Ids of words; those beyond the vocabulary are worked out by their last two bytes and not held beyond a bound."""
 
-    def __init__(self, frequent: list[bytes]):
-        super().__init__({w: i + 1 for i, w in enumerate(frequent)})
-        self.fixed = len(frequent)
+    def __init__(self, frequent: list[bytes], further: list[bytes] | tuple = ()):
+        super().__init__({w: i + 1 for i, w in enumerate(frequent)} | {w: VOCABULARY + i for i, w in enumerate(further)})
+        self.fixed = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        shared = VOCABULARY - 1 - FREQUENT
-        i = VOCABULARY - shared + zlib.crc32(word[-2:]) % shared
+        i = shared_class(word)
         if len(self) < self.fixed + HELD_WORDS:
             self[word] = i
         return i
 
 
-def _tokenise(frequent: list[bytes], head=None):
+def further_words(counted: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS) -> list[bytes]:
+    """The vocabulary's words after the FREQUENT most frequent ones."""
+    return most_frequent(counted.where(F.col("n") >= min_count), FREQUENT + most)[FREQUENT:]
+
+
+def _tokenise(frequent: list[bytes], head=None, further: list[bytes] | tuple = ()):
     """doc_id and tokens of doc_id, text; with head, the broadcast scaled logarithms of counts, of row, text, doc_id also the sum over the words it has and the words it lacks."""
+    code = "H" if len(further) else "B"
 
     def counted(batches):
-        ids, logs = Ids(frequent), head.value | dict.fromkeys(frequent, 0)
+        ids, logs = Ids(frequent, further), head.value | dict.fromkeys([*frequent, *further], 0)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 tokens, known, tail = [], [], []
@@ -128,50 +176,62 @@ def _tokenise(frequent: list[bytes], head=None):
                     ws = words(t)
                     own = list(map(logs.get, ws))
                     rest = [w for w, v in zip(ws, own, strict=True) if v is None] if None in own else []
-                    tokens.append(bytes(map(ids.__getitem__, ws)))
+                    tokens.append(array(code, map(ids.__getitem__, ws)).tobytes())
                     known.append(sum(filter(None, own)))
                     tail.append(rest)
                 columns = [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(tokens, pa.binary()), pa.array(known, pa.int64()), pa.array(tail, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "tokens", "known", "tail"])
 
     def run(batches):
-        ids = Ids(frequent)
+        ids = Ids(frequent, further)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([bytes(map(ids.__getitem__, words(t))) for t in texts], pa.binary())], names=["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([array(code, map(ids.__getitem__, words(t))).tobytes() for t in texts], pa.binary())], names=["doc_id", "tokens"])
 
     return run if head is None else counted
 
 
 # --- The network -----------------------------------------------------------
 
+KEYS = ("tables", "bias", "out", "prior", "inner", "inner_prior")
 
-def initial(seed: int = 3) -> dict[str, np.ndarray]:
+
+def initial(layout: Layout | None = None, seed: int = 3) -> dict[str, np.ndarray]:
+    layout = layout or Layout()
     rng = np.random.default_rng(seed)
     return {
-        "tables": rng.normal(0, 0.1, (len(OFFSETS), VOCABULARY, HIDDEN)).astype(np.float32),
+        "tables": rng.normal(0, 0.1, (len(OFFSETS), len(layout), HIDDEN)).astype(np.float32),
         "bias": np.zeros(HIDDEN, np.float32),
         "out": rng.normal(0, 0.1, (VOCABULARY, HIDDEN)).astype(np.float32),
         "prior": np.zeros(VOCABULARY, np.float32),
+        "inner": rng.normal(0, 0.1, (len(layout.members), HIDDEN)).astype(np.float32),
+        "inner_prior": np.zeros(len(layout.members), np.float32),
     }
 
 
+def with_priors(net: dict[str, np.ndarray], layout: Layout, frequency: np.ndarray) -> dict[str, np.ndarray]:
+    """The network with the shares of classes, and of words in their class, as first guess. frequency counts ids."""
+    of_class = np.bincount(layout.classes, frequency, VOCABULARY)
+    share = np.maximum(frequency, 1) / np.maximum(of_class, 1)[layout.classes]
+    return net | {"prior": np.log(np.maximum(of_class, 1) / max(of_class.sum(), 1)).astype(np.float32), "inner_prior": np.log(share[layout.members]).astype(np.float32)}
+
+
 def flat(net: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in ("tables", "bias", "out", "prior")]).astype(np.float64)
+    return np.concatenate([net[k].ravel() for k in KEYS])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(values: np.ndarray, layout: Layout | None = None) -> dict[str, np.ndarray]:
     net, at = {}, 0
-    for k, v in initial().items():
+    for k, v in initial(layout).items():
         net[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
         at += v.size
     return net
 
 
-def padded(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def padded(docs: list[bytes], dtype=np.uint8) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of several documents with WINDOW zeros around each, and the positions of the real ones."""
-    gap = bytes(WINDOW)
-    joined = np.frombuffer(gap + b"".join(d + gap for d in docs), np.uint8)
+    gap = bytes(WINDOW * np.dtype(dtype).itemsize)
+    joined = np.frombuffer(gap + b"".join(d + gap for d in docs), dtype)
     return joined, np.flatnonzero(joined)
 
 
@@ -182,23 +242,56 @@ def hidden(net, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def log_probabilities(net, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_softmax(h: np.ndarray, out: np.ndarray, prior: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log-softmax of column own[i] in row i of h @ out.T + prior. Components of h are within -1 and 1."""
+    most = float((np.abs(out).sum(1) + np.abs(prior)).max())
+    logits = h @ out.T
+    logits += prior
+    picked = logits[np.arange(len(h)), own]
+    if most > SAFE:
+        top = logits.max(1)
+        logits -= top[:, None]
+        return picked - top - np.log(np.exp(logits, out=logits).sum(1))
+    return picked - np.log(np.exp(logits, out=logits).sum(1))
+
+
+def _by_class(classes: np.ndarray, layout: Layout):
+    """(class, rows of that class) for each shared class of several words."""
+    rows = np.flatnonzero(layout.size[classes] > 1)
+    own = classes[rows]
+    order = np.argsort(own.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(own, minlength=VOCABULARY))
+    for c in np.flatnonzero(np.bincount(own, minlength=VOCABULARY)):
+        yield c, rows[order[ends[c - 1] : ends[c]]]
+
+
+def log_probabilities(net, tokens: np.ndarray, at: np.ndarray, layout: Layout | None = None) -> np.ndarray:
     """Log-probability of each token at `at`, given its neighbours but not itself."""
+    layout = layout or Layout()
     out = np.empty(len(at))
     for i in range(0, len(at), TOKENS):
         part = at[i : i + TOKENS]
-        logits = hidden(net, tokens, part) @ net["out"][1:].T + net["prior"][1:]
-        top = logits.max(1)
-        own = logits[np.arange(len(part)), tokens[part].astype(np.int64) - 1]
-        logits -= top[:, None]
-        out[i : i + TOKENS] = own - top - np.log(np.exp(logits, out=logits).sum(1))
+        target = tokens[part].astype(np.int64)
+        classes = layout.classes[target]
+        h = hidden(net, tokens, part)
+        found = _log_softmax(h, net["out"][1:], net["prior"][1:], classes - 1).astype(float)
+        for c, rows in _by_class(classes, layout):
+            own = slice(layout.start[c], layout.start[c] + layout.size[c])
+            found[rows] += _log_softmax(h[rows], net["inner"][own], net["inner_prior"][own], layout.place[target[rows]] - layout.start[c])
+        out[i : i + TOKENS] = found
     return out
 
 
 class Trainer:
-    """Adagrad on the softmax over the target and shared negatives drawn by the square root of frequency, with their chance taken off."""
+    """Adagrad on both softmax levels.
+
+    Classes: over the target and shared negatives drawn by the square root of
+    frequency, with their chance taken off. Words in their class: in full.
+    frequency counts classes.
+    """
 
-    def __init__(self, net: dict[str, np.ndarray], frequency: np.ndarray, seed: int = 5):
+    def __init__(self, net: dict[str, np.ndarray], frequency: np.ndarray, seed: int = 5, layout: Layout | None = None):
+        self.layout = layout or Layout()
         self.net = {k: v.copy() for k, v in net.items()}
         self.squares = {k: np.full_like(v, 1e-4) for k, v in net.items()}
         weight = np.sqrt(np.maximum(frequency, 1))
@@ -207,20 +300,27 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
 
     def _apply(self, key: str, where, gradient: np.ndarray) -> None:
-        self.squares[key][where] += gradient * gradient
-        self.net[key][where] -= RATE * gradient / np.sqrt(self.squares[key][where])
+        squares = self.squares[key][where] + gradient * gradient
+        self.squares[key][where] = squares
+        self.net[key][where] -= RATE * gradient / np.sqrt(squares)
 
     def step(self, tokens: np.ndarray, at: np.ndarray) -> None:
-        n, net = len(at), self.net
-        target = tokens[at].astype(np.int64)
+        n, net, layout = len(at), self.net, self.layout
+        word = tokens[at].astype(np.int64)
+        target = layout.classes[word]
         h = hidden(net, tokens, at)
         drawn = np.unique(self.rng.choice(VOCABULARY, NEGATIVES, p=self.chance))
         off = np.log(1 - (1 - self.chance) ** NEGATIVES + 1e-12).astype(np.float32)
-        logits = h @ net["out"][drawn].T + (net["prior"] - off)[drawn]
-        logits[drawn[None, :] == target[:, None]] = -1e9  # the target counts once
+        logits = h @ net["out"][drawn].T
+        logits += (net["prior"] - off)[drawn]
+        where = np.full(VOCABULARY, -1)
+        where[drawn] = np.arange(len(drawn))
+        twice = np.flatnonzero(where[target] >= 0)
+        logits[twice, where[target[twice]]] = -1e9  # the target counts once
         own = np.einsum("ij,ij->i", h, net["out"][target]) + net["prior"][target]
         top = np.maximum(logits.max(1), own)
-        p, q = np.exp(logits - top[:, None]), np.exp(own - top)
+        logits -= top[:, None]
+        p, q = np.exp(logits, out=logits), np.exp(own - top)
         total = p.sum(1) + q
         p /= total[:, None] * n
         q = (q / total - 1) / n
@@ -229,8 +329,10 @@ class Trainer:
         out[drawn] = p.T @ h
         prior = np.bincount(target, q, VOCABULARY).astype(np.float32)
         prior[drawn] += p.sum(0)
-        v, rows = _grouped(target, q[:, None] * h)
+        v, rows = _grouped(target.astype(np.uint8), q[:, None] * h)
         out[v] += rows
+        for c, rows in _by_class(target, layout):
+            self._step_inner(slice(layout.start[c], layout.start[c] + layout.size[c]), rows, layout.place[word[rows]] - layout.start[c], h, back, n)
         back *= 1 - h * h
         for k, o in enumerate(OFFSETS):
             v, rows = _grouped(tokens[at + o], back)
@@ -239,6 +341,18 @@ class Trainer:
         self._apply("out", slice(None), out)
         self._apply("prior", slice(None), prior)
 
+    def _step_inner(self, own: slice, rows: np.ndarray, places: np.ndarray, h: np.ndarray, back: np.ndarray, n: int) -> None:
+        inner, mine = self.net["inner"][own], h[rows]
+        p = mine @ inner.T
+        p += self.net["inner_prior"][own]
+        p -= p.max(1)[:, None]
+        np.exp(p, out=p)
+        p /= p.sum(1)[:, None] * n
+        p[np.arange(len(rows)), places] -= 1 / n
+        back[rows] += p @ inner
+        self._apply("inner", own, p.T @ mine)
+        self._apply("inner_prior", own, p.sum(0))
+
 
 def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their rows."""
@@ -251,19 +365,19 @@ def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # --- Spark -----------------------------------------------------------------
 
 
-def _train(shared, frequency: list[float]):
+def _train(shared, frequency: list[float], layout: Layout):
     def run(batches):
-        trainer, n = Trainer(unflat(shared.value), np.array(frequency)), 0
+        trainer, n = Trainer(unflat(shared.value, layout), np.array(frequency), layout=layout), 0
         for batch in batches:
             docs = [d for d in batch.column(0).to_pylist() if d]
             for i in range(0, len(docs), 256):
-                tokens, at = padded(docs[i : i + 256])
+                tokens, at = padded(docs[i : i + 256], layout.dtype)
                 at = trainer.rng.permutation(at)
                 for j in range(0, len(at), BATCH):
                     trainer.step(tokens, at[j : j + BATCH])
                 n += len(at)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([flat(trainer.net).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([flat(trainer.net).astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
 
     return run
 
@@ -278,52 +392,69 @@ def _weigh(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(total / n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
 
 
-def class_counts(tokens: DataFrame) -> np.ndarray:
-    frequency = np.zeros(VOCABULARY)
-    for i, n in tokens.select("tokens").mapInArrow(_histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+def id_counts(tokens: DataFrame, layout: Layout | None = None) -> np.ndarray:
+    layout = layout or Layout()
+    frequency = np.zeros(len(layout))
+    for i, n in tokens.select("tokens").mapInArrow(_histogram(layout), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         frequency[i] = n
     return frequency
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS, frequency: np.ndarray | None = None) -> dict[str, np.ndarray]:
+def dealt(tokens: DataFrame, n_tokens: float) -> DataFrame:
+    """tokens in tasks of about TASK_TOKENS words. A document's task, and its place there, follow from its id and tokens."""
+    tasks = max(1, math.ceil(n_tokens / TASK_TOKENS))
+    hashed = tokens.select("tokens", F.xxhash64("doc_id", "tokens").alias("at"))
+    return hashed.repartition(tasks, "at").sortWithinPartitions("at", "tokens").select("tokens")
+
+
+def train(tokens: DataFrame, rounds: int = ROUNDS, frequency: np.ndarray | None = None, layout: Layout | None = None) -> dict[str, np.ndarray]:
     """The network after one pass over all documents of tokens (doc_id, tokens)."""
-    spark = ship(tokens.sparkSession)
-    frequency = class_counts(tokens) if frequency is None else frequency
-    net = initial()
-    net["prior"] = np.log(np.maximum(frequency, 1) / max(frequency.sum(), 1)).astype(np.float32)
+    spark, layout = ship(tokens.sparkSession), layout or Layout()
+    frequency = id_counts(tokens, layout) if frequency is None else frequency
+    of_class = np.bincount(layout.classes, frequency, VOCABULARY)
+    net = with_priors(initial(layout), layout, frequency)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(flat(net))
-        part = tokens.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("tokens")
-        sent = part.mapInArrow(_train(shared, frequency.tolist()), "net binary, n long").repartition(FAN_IN).mapInArrow(_weigh, "net binary, n long").collect()
+        part = tokens.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
+        n_tokens = frequency.sum() / rounds
+        sent = dealt(part, n_tokens).mapInArrow(_train(shared, of_class.tolist(), layout), "net binary, n long")
+        tasks = max(1, math.ceil(n_tokens / TASK_TOKENS))
+        while tasks > 1:
+            tasks = math.ceil(tasks / FAN_IN)
+            sent = sent.repartition(tasks).mapInArrow(_weigh, "net binary, n long")
+        sent = sent.collect()
         if sent:
-            weights = np.array([s["n"] for s in sent], float)
             # The order of the sums may differ from run to run; rounding takes that off.
-            net = unflat(np.round(sum(np.frombuffer(s["net"], np.float64) * w for s, w in zip(sent, weights, strict=True)) / weights.sum(), 6))
+            net = unflat(np.round(np.frombuffer(sent[0]["net"], np.float64), 6), layout)
     return net
 
 
-def _histogram(batches):
-    total = np.zeros(VOCABULARY, np.int64)
-    for batch in batches:
-        for d in batch.column(0):
-            total += np.bincount(np.frombuffer(d.as_py() or b"", np.uint8), minlength=VOCABULARY)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCABULARY), pa.int32()), pa.array(total, pa.int64())], names=["id", "n"])
+def _histogram(layout: Layout):
+    def run(batches):
+        total = np.zeros(len(layout), np.int64)
+        for batch in batches:
+            for d in batch.column(0):
+                total += np.bincount(np.frombuffer(d.as_py() or b"", layout.dtype), minlength=len(layout))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(layout)), pa.int32()), pa.array(total, pa.int64())], names=["id", "n"])
+
+    return run
 
 
-def _score(shared, frequency: list[float]):
+def _score(shared, frequency: list[float], layout: Layout):
     """row, doc_id, number of tokens and sum of log-probabilities of row, doc_id, tokens, known; without the counts of words in no head."""
 
     def run(batches):
-        net = unflat(shared.value)
-        shares = np.array([scaled_log(n) if i > FREQUENT and n else 0 for i, n in enumerate(frequency)], np.int64)
+        net = unflat(shared.value, layout)
+        # What is left of the shared classes beyond the vocabulary, as logarithms of its counts.
+        shares = np.array([scaled_log(n) if FREQUENT < i < VOCABULARY and n else 0 for i, n in enumerate(frequency)], np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 docs = [d or b"" for d in part.column(2).to_pylist()]
-                joined, at = padded(docs)
-                sizes = np.array([len(d) for d in docs])
+                joined, at = padded(docs, layout.dtype)
+                sizes = np.array([len(d) for d in docs]) // layout.dtype().itemsize
                 ends = np.cumsum(sizes)
-                total = np.concatenate([[0], np.cumsum(log_probabilities(net, joined, at))])
+                total = np.concatenate([[0], np.cumsum(log_probabilities(net, joined, at, layout))])
                 of_class = np.concatenate([[0], np.cumsum(shares[joined[at]])])
                 within = part.column(3).to_numpy() - (of_class[ends] - of_class[ends - sizes])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(total[ends] - total[ends - sizes], pa.float64()), pa.array(within, pa.int64())], names=["row", "doc_id", "n_tokens", "classes", "within"])
@@ -331,13 +462,15 @@ def _score(shared, frequency: list[float]):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, log_prob, mean_log_prob.
 
     Tokens are the whole text's runs of other than [\\x20\\x09-\\x0D], A-Z
     lower-cased. log_prob sums the log-probabilities of these words given both
-    sides: that of the word's class and that of the word in its class, from the
-    counts of all words. The counts of head_words words at most are broadcast;
+    sides: that of the word's class, that of the word or the remainder in its
+    class, and that of the word in the remainder, from the counts of all words.
+    The vocabulary has the words with min_count occurrences, FREQUENT +
+    max_words at most. The counts of head_words words at most are broadcast;
     all others are joined by the word itself. Null, empty or blank text has no
     tokens, log_prob 0 and a null mean. Repeated rows train and are scored
     each. An empty table gives an empty result; other columns are not read.
@@ -346,11 +479,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head_word
     counted, _ = stage(word_counts(docs, text), "words")
     head = head_counts(counted, head_words)
     logs = spark.sparkContext.broadcast({w: scaled_log(n) for w, n in head.items()})
+    further = further_words(counted, min_count, max_words)
+    layout = Layout(further)
     own = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("text"), docs[id_col].cast("long").alias("doc_id"))
-    tokens, _ = stage(own.mapInArrow(_tokenise(most_frequent(counted), logs), "row long, doc_id long, tokens binary, known long, tail array<binary>"), "tokens")
-    frequency = class_counts(tokens)
-    shared = spark.sparkContext.broadcast(flat(train(tokens, frequency=frequency)))
-    scored = tokens.select("row", "doc_id", "tokens", "known").mapInArrow(_score(shared, frequency.tolist()), "row long, doc_id long, n_tokens long, classes double, within long")
+    tokens, _ = stage(own.mapInArrow(_tokenise(most_frequent(counted), logs, further), "row long, doc_id long, tokens binary, known long, tail array<binary>"), "tokens")
+    frequency = id_counts(tokens, layout)
+    shared = spark.sparkContext.broadcast(flat(train(tokens, frequency=frequency, layout=layout)))
+    given = tokens.select("row", "doc_id", "tokens", "known").repartition(max(1, math.ceil(frequency.sum() / TASK_TOKENS)), "row")
+    scored = given.mapInArrow(_score(shared, frequency.tolist(), layout), "row long, doc_id long, n_tokens long, classes double, within long")
     tail = tokens.select("row", F.explode("tail").alias("word")).join(counted, "word").groupBy("row").agg(F.sum(F.round(F.log("n") * SCALE).cast("long")).alias("tail"))
     total = F.round(F.col("classes") + (F.col("within") + F.coalesce("tail", F.lit(0))) / SCALE, 6)
     done = scored.join(tail, "row", "left").withColumn("log_prob", total)
@@ -358,4 +494,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head_word
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """score() over all documents; edge cases are score()'s."""
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
