@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.ship import ship
 from docloom.stages import shared_dir, stage, stage_path, unstage
 
-__all__ = ["ascii_lower", "bitmap", "mark", "marked", "only_marked", "shared_dir", "stage", "stage_path", "table", "unstage"]
+__all__ = ["ascii_lower", "bitmap", "mark", "marked", "only_marked", "shared_dir", "spread_join", "stage", "stage_path", "table", "unstage"]
 
 #: The white space of the line and word contracts: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -63,3 +63,23 @@ def only_marked(bits, at: int, set_: bool = True):
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII values take the faster built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
+
+
+#: Groups with so large a share of all rows are joined by broadcast; there are HOT_GROUPS at most.
+HOT_GROUPS = 1024
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, total: int) -> DataFrame:
+    """rows left-joined with groups, which have one row for each value of keys and a column `size` with its number of rows.
+
+    Very large groups would put their rows into one task. Those with more than
+    total / HOT_GROUPS rows, HOT_GROUPS at most, are broadcast, and their rows
+    are spread over all tasks by the column `spread`, where they meet no one.
+    """
+    hot = F.col(size) * HOT_GROUPS > F.lit(total)
+    given = [c for c in groups.columns if c not in keys]
+    few = groups.where(hot).select(*keys, F.struct(*given).alias("_hot"))
+    salted = rows.join(F.broadcast(few), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0))
+    rest = groups.where(~hot).select(*keys, F.struct(*given).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
+    both = salted.join(rest, [*keys, "_salt"], "left")
+    return both.select(*rows.columns, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in given])
