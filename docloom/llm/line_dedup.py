@@ -6,9 +6,9 @@ position, so that a window streams each digest's documents in order: the
 first document keeps the line, all later ones lose it. What comes back is no
 text but a compressed keep bitmap per document: the runs of kept lines.
 
-A few digests may hold a large part of all rows. They are found by a frequency
-sketch of fixed size and are not ranged: their documents are counted with map-side
-combining and the at most HOT_KEYS results are broadcast.
+Some digests may hold more rows than a task should get. They are found by a
+frequency sketch of bounded size and are not ranged: their documents are counted
+with map-side combining, and the results, MOST_HOT at most, are broadcast.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import WHITE, ascii_lower, stage
 
-#: Most digests that are treated as hot; bounds the broadcast.
-HOT_KEYS = 64
-#: Share of all rows from which a digest counts as hot.
-HOT_SHARE = 1 / 512
+#: Rows from which a digest is hot, and the share of all rows from which it is hot whatever their number.
+HOT_ROWS, HOT_SHARE = 1 << 20, 1 / 512
+#: Most digests that can be hot (their results are broadcast), and most that the sketch tracks.
+MOST_HOT, TRACKED = 100_000, 1_000_000
 
 
 def _text(docs: DataFrame, text: str):
@@ -38,13 +38,27 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "text_tag", "pos", F.unhex(F.md5("key")).alias("digest"))
 
 
-def dropped_lines(digests: DataFrame, min_docs: int = 3) -> DataFrame:
+def hot_digests(tagged: DataFrame, hot_rows: int = HOT_ROWS) -> list[int]:
+    """The tags of digests that a task should not get whole.
+
+    The sketch counts to within a fixed share of all rows, so with a number of
+    rows that MOST_HOT * hot_rows does not cover, digests are hot from a larger
+    number of rows on.
+    """
+    n = tagged.count()
+    least = max(3, min(hot_rows, n * HOT_SHARE))
+    most = min(MOST_HOT, int(n / least) + 1)
+    top = tagged.agg(F.expr(f"approx_top_k(tag, {most}, {min(TRACKED, 64 * most)})").alias("top")).first()["top"]
+    return [x["item"] for x in top or [] if x["count"] >= least]
+
+
+def dropped_lines(digests: DataFrame, min_docs: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows of digests that go: doc_id, text_tag, pos."""
     tagged = digests.withColumn("tag", F.xxhash64("digest"))
-    top = tagged.agg(F.expr(f"approx_top_k(tag, {HOT_KEYS}, {HOT_KEYS * 64})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    hot = [x["item"] for x in top["top"] or [] if x["count"] >= max(3, top["n"] * HOT_SHARE)]
+    hot = digests.sparkSession.createDataFrame([(x,) for x in hot_digests(tagged, hot_rows)], "tag long")
+    some = F.broadcast(hot)  # MOST_HOT numbers at most
 
-    cold = tagged.where(~F.col("tag").isin(hot)) if hot else tagged
+    cold = tagged.join(some, "tag", "left_anti")
     newest = Window.partitionBy("digest").orderBy(F.col("doc_id").desc_nulls_last())
     gone = (
         cold.drop("tag")
@@ -55,11 +69,9 @@ def dropped_lines(digests: DataFrame, min_docs: int = 3) -> DataFrame:
         .where((F.col("n_docs") >= min_docs) & (F.col("nth") > 1))
         .select("doc_id", "text_tag", "pos")
     )
-    if hot:
-        rows = tagged.where(F.col("tag").isin(hot))
-        found = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("n_docs"))
-        gone = gone.union(rows.join(F.broadcast(found), "digest").where((F.col("n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("newest"))).select("doc_id", "text_tag", "pos"))
-    return gone
+    rows = tagged.join(some, "tag", "left_semi")
+    found = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("n_docs"))
+    return gone.union(rows.join(F.broadcast(found), "digest").where((F.col("n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("newest"))).select("doc_id", "text_tag", "pos"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -85,16 +97,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped instead of the text column."""
-    own = docs.withColumn("text_tag", F.xxhash64(_text(docs, text)))
-    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_tag").alias("_tag"), "dropped", "keep_runs")
-    both = own.join(b, own[id_col].eqNullSafe(b["_id"]) & (own["text_tag"] == b["_tag"]), "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    """docs with kept_text, n_lines and n_dropped instead of the text column.
+
+    Null and empty text is one empty line, kept. Rows that repeat an id get the
+    bitmap of their own text, null ids included. Texts of any length are cut
+    whole. Columns of docs are kept whatever their names, unless they are called
+    like one of the three; an empty table gives an empty result.
+    """
+    new = ["kept_text", "n_lines", "n_dropped"]
+    rest = [c for c in docs.columns if c != text and c not in new]
+    own = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), _text(docs, text).alias("own_text"), docs[id_col].alias("own_id"))
+    own = own.withColumn("own_tag", F.xxhash64("own_text"))
+    b = bitmaps.select(F.col("doc_id").alias("bitmap_id"), F.col("text_tag").alias("bitmap_tag"), "dropped", "keep_runs")
+    both = own.join(b, F.col("own_id").eqNullSafe(F.col("bitmap_id")) & (F.col("own_tag") == F.col("bitmap_tag")), "left")
+    lines = F.split("own_text", "\n")
     cut = F.array_join(F.flatten(F.transform("keep_runs", lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
-    return both.select(*[c for c in docs.columns if c != text], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(cut).alias("kept_text"))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in rest], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("dropped").isNull(), F.col("own_text")).otherwise(cut).alias("kept_text"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Line dedup of all documents; edge cases are those of line_dedup() and apply_bitmaps()."""
     from docloom.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
