@@ -5,7 +5,8 @@ its grouping keys: map-side combining within an input partition, merging of the
 salted digest groups, and combining of the salt winners over all salts. A group
 of any size is spread over SALTS tasks and meets again as SALTS rows at most.
 Rows find their group again by digest alone, without their texts, unless a
-digest turns out to stand for several texts; those few go by full text.
+digest turns out to stand for several texts; those few go by full text. Rows of
+very large groups are spread over all tasks there too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, stage, table
+from docloom.llm.common import ascii_lower, spread_join, stage, table
 
 SALTS = 48
 
@@ -47,7 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sal
     def judged(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
-    found = judged(rows.select("doc_id", "digest").join(by_digest.where("texts = 1").drop("texts"), "digest"))
+    total = by_digest.agg(F.sum("group_size")).first()[0] or 0
+    found = judged(spread_join(rows.select("doc_id", "digest"), by_digest.where("texts = 1").drop("texts"), ["digest"], "group_size", "doc_id", total).where("group_size IS NOT NULL"))
     clashes = by_digest.where("texts > 1").select("digest")
     if not clashes.isEmpty():
         clashing = rows.join(clashes, "digest", "left_semi")
@@ -57,16 +59,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sal
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, one per group, with the columns of docs."""
-    judged, _ = stage(exact_dedup(docs, id_col, text).where("kept").select(F.col("doc_id").alias("_keep"), F.col("digest").alias("_digest")).groupBy("_keep", "_digest").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    own = docs.withColumn("_norm", sha256(ascii_lower(F.coalesce(docs[text], F.lit("")))))
-    kept = own.join(judged, own[id_col].eqNullSafe(judged["_keep"]) & (own["_norm"] == judged["_digest"]), "inner")
-    if not judged.where("_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["_keep", "_digest"])
-    return kept.select(*[kept[c] for c in docs.columns])
+    """The rows of docs that exact_dedup keeps, one per group, with the columns of docs.
+
+    Null text counts as empty. Of rows that repeat both id and text, one stays;
+    a null id stays only where all ids of its group are null, and then one row
+    does. Texts of any length are compared whole. Columns of docs are kept
+    whatever their names; an empty table gives an empty result.
+    """
+    found = exact_dedup(docs, id_col, text).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    judged, _ = stage(found.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), "n"), "kept")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("own_id"), sha256(ascii_lower(F.coalesce(docs[text], F.lit("")))).alias("own_digest"))
+    kept = own.join(judged, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")))
+    if not judged.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["kept_id", "kept_digest"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """exact_dedup() over all documents; edge cases are exact_dedup()'s."""
     found = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
