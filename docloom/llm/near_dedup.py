@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bitmap, mark, marked, stage, table
+from docloom.llm.common import bitmap, mark, marked, stage, table, unstage
 from docloom.llm.graph import connected_components
 from docloom.ship import ship
 
@@ -33,6 +33,8 @@ PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 #: Members, and shingles of all members, of a block in the comparison of what stars leave open, about.
 BLOCK, BLOCK_SHINGLES = 2048, 400_000
+#: Members of a star that are compared with its centre in one task, about.
+CENTRE = 4096
 #: Bytes of text or shingle values that are worked on at once.
 CHUNK = 1 << 20
 
@@ -229,15 +231,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     # Stars: each bucket's members, with its smallest member as centre.
     members = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met, _ = stage(members.join(buckets, "bucket").where("node <> centre").groupBy("centre", "node").agg(F.max("size").alias("size")), "met")
+    met, met_path = stage(members.join(buckets, "bucket").where("node <> centre").groupBy("centre", "node").agg(F.max("size").alias("size")), "met")
     nodes = met.select("node").union(met.select(F.col("centre").alias("node"))).distinct()
     # Texts outside the bitmap of wanted ids are passed over where they are read; only sets go to the join.
     found = given.where("doc_id IS NOT NULL").select("doc_id", "text", mark("doc_id").alias("mark")).mapInArrow(_shingled(bitmap(nodes, "node")), "node long, members array<long>")
     # A repeated id gives several sets; links of any of them count.
-    sets, _ = stage(found.join(nodes, "node", "left_semi"), "sets")
+    sets, sets_path = stage(found.join(nodes, "node", "left_semi"), "sets")
 
     size = F.size(F.array_intersect("x.members", "y.members")).cast("long")
-    pairs = met.alias("m").join(sets.alias("x"), F.expr("m.node = x.node")).join(sets.alias("y"), F.expr("m.centre = y.node"))
+    # A centre with many members has its set dealt to several tasks, CENTRE members each.
+    dealt = met.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CENTRE).cast("int").alias("salts"))
+    centres = dealt.join(sets, F.col("centre") == F.col("node")).select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "members")
+    salted = met.join(dealt, "centre").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    pairs = salted.alias("m").join(sets.alias("x"), F.expr("m.node = x.node")).join(centres.alias("y"), F.expr("m.centre = y.centre AND m.salt = y.salt"))
     sized = pairs.select("m.node", "m.centre", F.size("x.members").cast("long").alias("p"), F.size("y.members").cast("long").alias("q"), size.alias("i"))
     links, _ = stage(sized.where(F.expr(f"100 * i >= {PERCENT} * (p + q - i)")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "links")
     first = connected_components(links)
@@ -248,7 +254,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     merged = connected_components(found)
     final = parts.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component_id"))
 
-    own = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
+    own, _ = stage(classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id")), "own")
+    unstage(docs.sparkSession, met_path, sets_path)
     if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():
         own = _tie_repeated(usable, own)
     # Rows with a null id find no component, even of an equal text.
@@ -291,10 +298,16 @@ def _open_links(met: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with the columns of docs."""
+    """The rows of docs whose id is the smallest of their component, with the columns of docs, whatever their names.
+
+    Rows with a null id, and null or blank texts, stay. Rows that repeat an id
+    go or stay together. Texts of any length are compared whole. An empty table
+    gives an empty result.
+    """
     kept, _ = stage(near_components(docs, id_col, text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
     return docs.join(kept, docs[id_col] == kept["_gone"], "left_anti")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """near_components() over all documents; edge cases are near_components()'s."""
     return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
