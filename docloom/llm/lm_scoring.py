@@ -3,8 +3,9 @@
 The network predicts each word from the WINDOW words on either side. Every
 offset has a table with a hidden vector for each word of the vocabulary; their
 sum goes through tanh. Two softmax levels follow: over classes, and over the
-words within a class. The most frequent words are a class each; all others
-share classes by their last two bytes. The vocabulary grows with the corpus:
+words within a class. The most frequent words are a class each; the others
+share classes, those of the vocabulary by hash, so that classes are of one
+size, and all beyond it by their last two bytes. The vocabulary grows with the corpus:
 it has every word that occurs MIN_COUNT times in all documents, up to
 FREQUENT + MAX_WORDS, the bound of what is broadcast and sent back. All words
 beyond it, however rare, have a probability of their own too: that of their
@@ -41,9 +42,9 @@ from docloom.ship import ship
 #: Classes: 0 stands beyond the ends; then come the FREQUENT most frequent words; all others share the rest by their last two bytes.
 VOCABULARY, FREQUENT = 256, 191
 #: Further words of the vocabulary: all with MIN_COUNT occurrences, the most frequent first, MAX_WORDS at most.
-MIN_COUNT, MAX_WORDS = 64, 4096
+MIN_COUNT, MAX_WORDS = 64, 2048
 WINDOW, HIDDEN = 2, 32
-ROUNDS, RATE, BATCH, NEGATIVES = 3, 0.1, 4096, 64
+ROUNDS, RATE, BATCH, NEGATIVES = 3, 0.1, 8192, 64
 #: Words that a training task goes through, and that a scoring task scores, about.
 TASK_TOKENS = 1_500_000
 FAN_IN = 16
@@ -118,6 +119,12 @@ def shared_class(word: bytes) -> int:
     return VOCABULARY - shared + zlib.crc32(word[-2:]) % shared
 
 
+def word_class(word: bytes) -> int:
+    """The class of a word of the vocabulary that has none of its own."""
+    shared = VOCABULARY - 1 - FREQUENT
+    return VOCABULARY - shared + zlib.crc32(word) % shared
+
+
 class Layout:
     """The classes of a vocabulary's words and their places in the inner level.
 
@@ -127,7 +134,7 @@ class Layout:
     """
 
     def __init__(self, further: list[bytes] | tuple = ()):
-        self.classes = np.concatenate([np.arange(VOCABULARY), [shared_class(w) for w in further]]).astype(np.int64)
+        self.classes = np.concatenate([np.arange(VOCABULARY), [word_class(w) for w in further]]).astype(np.int64)
         members = [i for i in range(VOCABULARY + len(further)) if self.classes[i] > FREQUENT]
         members.sort(key=lambda i: (self.classes[i], i))
         self.members = np.array(members, np.int64)
@@ -158,6 +165,11 @@ class Ids(dict):
         return i
 
 
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def further_words(counted: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS) -> list[bytes]:
     """The vocabulary's words after the FREQUENT most frequent ones."""
     return most_frequent(counted.where(F.col("n") >= min_count), FREQUENT + most)[FREQUENT:]
@@ -169,15 +181,22 @@ def _tokenise(frequent: list[bytes], head=None, further: list[bytes] | tuple = (
 
     def counted(batches):
         ids, logs = Ids(frequent, further), head.value | dict.fromkeys([*frequent, *further], 0)
+        # One look-up a word: its place in the arrays of ids and logarithms, or the last place for words without one.
+        places = _Places(zip(logs, range(len(logs))))
+        id_at = np.array([*map(ids.__getitem__, logs), 0], np.uint16 if code == "H" else np.uint8)
+        log_at = np.array([*logs.values(), 0], np.int64)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 tokens, known, tail = [], [], []
                 for t in texts:
                     ws = words(t)
-                    own = list(map(logs.get, ws))
-                    rest = [w for w, v in zip(ws, own, strict=True) if v is None] if None in own else []
-                    tokens.append(array(code, map(ids.__getitem__, ws)).tobytes())
-                    known.append(sum(filter(None, own)))
+                    own = np.fromiter(map(places.__getitem__, ws), np.int64, len(ws))
+                    missing = np.flatnonzero(own < 0)
+                    found = id_at[own]
+                    rest = [ws[i] for i in missing]
+                    found[missing] = [ids[w] for w in rest]
+                    tokens.append(found.tobytes())
+                    known.append(int(log_at[own].sum()))
                     tail.append(rest)
                 columns = [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(tokens, pa.binary()), pa.array(known, pa.int64()), pa.array(tail, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "tokens", "known", "tail"])
@@ -245,8 +264,8 @@ def hidden(net, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _log_softmax(h: np.ndarray, out: np.ndarray, prior: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Log-softmax of column own[i] in row i of h @ out.T + prior. Components of h are within -1 and 1."""
     most = float((np.abs(out).sum(1) + np.abs(prior)).max())
-    logits = h @ out.T
-    logits += prior
+    # The prior is one more input that is always 1.
+    logits = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1) @ np.concatenate([out, prior[:, None]], 1).T
     picked = logits[np.arange(len(h)), own]
     if most > SAFE:
         top = logits.max(1)
@@ -345,9 +364,9 @@ class Trainer:
         inner, mine = self.net["inner"][own], h[rows]
         p = mine @ inner.T
         p += self.net["inner_prior"][own]
-        p -= p.max(1)[:, None]
+        p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(1)[:, None] * n
+        p *= (1 / (p.sum(1) * n))[:, None]
         p[np.arange(len(rows)), places] -= 1 / n
         back[rows] += p @ inner
         self._apply("inner", own, p.T @ mine)
@@ -366,30 +385,46 @@ def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _train(shared, frequency: list[float], layout: Layout):
+    """One network, and its number of words, for each shard of tokens, shard sorted by shard."""
+
     def run(batches):
-        trainer, n = Trainer(unflat(shared.value, layout), np.array(frequency), layout=layout), 0
+        trainer, n, own = None, 0, None
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array([flat(trainer.net).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
+
         for batch in batches:
-            docs = [d for d in batch.column(0).to_pylist() if d]
-            for i in range(0, len(docs), 256):
-                tokens, at = padded(docs[i : i + 256], layout.dtype)
-                at = trainer.rng.permutation(at)
-                for j in range(0, len(at), BATCH):
-                    trainer.step(tokens, at[j : j + BATCH])
-                n += len(at)
+            shards = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if start == stop:
+                    continue
+                if shards[start] != own:
+                    if n:
+                        yield sent()
+                    trainer, n, own = Trainer(unflat(shared.value, layout), np.array(frequency), layout=layout), 0, shards[start]
+                docs = [d for d in batch.column(0).slice(start, stop - start).to_pylist() if d]
+                for i in range(0, len(docs), 256):
+                    tokens, at = padded(docs[i : i + 256], layout.dtype)
+                    at = trainer.rng.permutation(at)
+                    for j in range(0, len(at), BATCH):
+                        trainer.step(tokens, at[j : j + BATCH])
+                    n += len(at)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([flat(trainer.net).astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
+            yield sent()
 
     return run
 
 
 def _weigh(batches):
+    """The weighted mean of networks. Sums are in double precision; what is sent is not."""
     total, n = None, 0
     for batch in batches:
         for net, k in zip(batch.column(0), batch.column(1), strict=True):
-            part = np.frombuffer(net.as_py(), np.float64) * k.as_py()
+            part = np.frombuffer(net.as_py(), np.float32).astype(float) * k.as_py()
             total, n = (part if total is None else total + part), n + k.as_py()
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([(total / n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
 
 
 def id_counts(tokens: DataFrame, layout: Layout | None = None) -> np.ndarray:
@@ -400,11 +435,10 @@ def id_counts(tokens: DataFrame, layout: Layout | None = None) -> np.ndarray:
     return frequency
 
 
-def dealt(tokens: DataFrame, n_tokens: float) -> DataFrame:
-    """tokens in tasks of about TASK_TOKENS words. A document's task, and its place there, follow from its id and tokens."""
-    tasks = max(1, math.ceil(n_tokens / TASK_TOKENS))
-    hashed = tokens.select("tokens", F.xxhash64("doc_id", "tokens").alias("at"))
-    return hashed.repartition(tasks, "at").sortWithinPartitions("at", "tokens").select("tokens")
+def dealt(tokens: DataFrame, tasks: int) -> DataFrame:
+    """tokens and shard of tokens (doc_id, tokens), a shard whole and sorted in one task. A document's shard, and its place there, follow from its id and tokens."""
+    hashed = tokens.select("tokens", F.xxhash64("doc_id", "tokens").alias("at")).withColumn("shard", F.pmod("at", F.lit(tasks)))
+    return hashed.repartition(tasks, "shard").sortWithinPartitions("shard", "at", "tokens").select("tokens", "shard")
 
 
 def train(tokens: DataFrame, rounds: int = ROUNDS, frequency: np.ndarray | None = None, layout: Layout | None = None) -> dict[str, np.ndarray]:
@@ -416,16 +450,15 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, frequency: np.ndarray | None
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(flat(net))
         part = tokens.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
-        n_tokens = frequency.sum() / rounds
-        sent = dealt(part, n_tokens).mapInArrow(_train(shared, of_class.tolist(), layout), "net binary, n long")
-        tasks = max(1, math.ceil(n_tokens / TASK_TOKENS))
+        tasks = max(1, math.ceil(frequency.sum() / rounds / TASK_TOKENS))
+        sent = dealt(part, tasks).mapInArrow(_train(shared, of_class.tolist(), layout), "net binary, n long")
         while tasks > 1:
             tasks = math.ceil(tasks / FAN_IN)
             sent = sent.repartition(tasks).mapInArrow(_weigh, "net binary, n long")
         sent = sent.collect()
         if sent:
             # The order of the sums may differ from run to run; rounding takes that off.
-            net = unflat(np.round(np.frombuffer(sent[0]["net"], np.float64), 6), layout)
+            net = unflat(np.round(np.frombuffer(sent[0]["net"], np.float32).astype(float), 5), layout)
     return net
 
 

@@ -28,7 +28,7 @@ def softmax(net_out, net_prior, h):
 
 def brute_force(text, counts, frequent, further, net):
     ids = {w: i + 1 for i, w in enumerate(frequent)} | {w: lm.VOCABULARY + i for i, w in enumerate(further)}
-    word_class = lambda w: ids[w] if ids.get(w, 999) < lm.VOCABULARY else lm.shared_class(w)
+    class_of = lambda w: ids[w] if ids.get(w, 999) < lm.VOCABULARY else lm.word_class(w) if w in ids else lm.shared_class(w)
     as_id = lambda w: ids.get(w) or lm.shared_class(w)
     ws = (text or "").encode().lower().split()
     total = 0.0
@@ -39,11 +39,11 @@ def brute_force(text, counts, frequent, further, net):
             row = net["tables"][k][as_id(ws[j]) if 0 <= j < len(ws) else 0]
             h = [a + float(b) for a, b in zip(h, row)]
         h = [math.tanh(x) for x in h]
-        c = word_class(w)
+        c = class_of(w)
         total += math.log(softmax(net["out"][1:], net["prior"][1:], h)[c - 1])
         if c > lm.FREQUENT:
-            before = sum(1 + sum(lm.shared_class(x) == d for x in further) for d in range(lm.FREQUENT + 1, c))
-            members = [None, *[x for x in further if lm.shared_class(x) == c]]
+            before = sum(1 + sum(lm.word_class(x) == d for x in further) for d in range(lm.FREQUENT + 1, c))
+            members = [None, *[x for x in further if lm.word_class(x) == c]]
             p = softmax(net["inner"][before : before + len(members)], net["inner_prior"][before : before + len(members)], h)
             if w in ids:
                 total += math.log(p[members.index(w)])
