@@ -21,7 +21,7 @@ PLACEHOLDERS = ["n/a", "not stated", "none", "-", "--", "tbd"]
 NO_ITEM = ["n/a", "none", "-", "not stated"]
 #: Running headers and footers: page numbers in three styles, and whatever the caller adds.
 BOILERPLATE = [r"(?i)^\s*Page\s+\d+\s*(\|\s*\d+\s*)?$", r"^\s*\d+\s*\|\s*\d+\s*$", r"(?i)^\s*Page\s+\d+\s+of\s+\d+\s*$"]
-STOPWORDS = "a an and are as at be by for from has have if in into is it its of on or shall that the their there these they this to was will with you your our we any all".split()
+STOPWORDS = "a an and are as at be by for from has have in is it its of on or that the this to was were will with your you our their not any all may must shall should".split()
 
 
 def _nfkc(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from docloom.ship import ship
 
-TARGET, OVERLAP, LONGEST = 420, 60, 8000
+TARGET, OVERLAP = 420, 60
 SCHEMA = "doc_id string, chunk_no int, chunk_id string, page int, section string, text string, block_ids array<string>, tokens int"
 _WORD = re.compile(r"\w+")
 
@@ -18,58 +18,60 @@ def tokens(text: str) -> int:
     return int(1.3 * len(_WORD.findall(text)))
 
 
-def pack(blocks: list[tuple], target: int = TARGET, overlap: int = OVERLAP) -> list[dict]:
+def pack(blocks: list[tuple], target: int = TARGET, overlap: int = OVERLAP, longest: int | None = None) -> list[dict]:
     """Chunks of one document's blocks (block_id, page, kind, section, text), in their order.
 
-    A heading starts a chunk and sets the section. A block over one and a half
-    targets is a chunk of its own. Each other chunk begins with the last blocks
-    of the one before, up to `overlap` tokens.
+    A heading starts a chunk and sets the section. After each chunk, the next
+    begins with the last blocks of the one before, as many as make `overlap`
+    tokens, be it all of them. A block over one and a half targets is a chunk of
+    its own, after what was held; longest, if given, cuts its text to so many
+    characters. What is held at the end is the last chunk.
     """
     out: list[dict] = []
-    held: list[tuple] = []
-    section = None
-
-    def emit(rows: list[tuple]) -> None:
-        text = "\n".join(r[4] for r in rows)[:LONGEST]
-        out.append({"page": rows[0][1], "section": section, "text": text, "block_ids": [r[0] for r in rows], "tokens": tokens(text)})
-
-    def flush() -> list[tuple]:
-        emit(held)
-        tail, size = [], 0
-        for row in reversed(held):
-            if size >= overlap:
-                break
-            tail.insert(0, row)
-            size += tokens(row[4])
-        return tail if len(tail) < len(held) else []
+    held: list[tuple] = []  # (block, tokens)
+    total, section = 0, None
+
+    def emit(rows: list[tuple], text: str, size: int) -> None:
+        out.append({"page": rows[0][1], "section": section, "text": text, "block_ids": [r[0] for r in rows], "tokens": size})
+
+    def flush() -> None:
+        nonlocal held, total
+        if not held:
+            return
+        text = "\n".join(r[4] for r, _ in held)
+        emit([r for r, _ in held], text, tokens(text))
+        first, total = len(held), 0
+        while first and total < overlap:
+            first -= 1
+            total += held[first][1]
+        held = held[first:]
 
     for row in blocks:
-        if not (row[4] or "").strip():
+        text = row[4] or ""
+        if not text.strip():
             continue
-        size = tokens(row[4])
+        size = tokens(text)
         if row[2] == "heading":
-            if held:
-                flush()
-                held = []
-            section = row[4].strip()
-        elif row[3]:
-            section = row[3]
+            flush()
+        section = row[3] or (text.strip() if row[2] == "heading" else section)
         if size > 1.5 * target:
-            if held:
-                flush()
-                held = []
-            emit([row])
+            flush()
+            emit([row], text if longest is None else text[:longest], size)
             continue
-        if held and sum(tokens(r[4]) for r in held) + size > target:
-            held = flush()
-        held = [*held, row]
-    if held:
-        emit(held)
+        if total + size > target:
+            flush()
+        held.append((row, size))
+        total += size
+    flush()
     return out
 
 
 def chunk(blocks: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """R1 for blocks (doc_id, block_ord, block_id, page_no, kind, section, text). A document is one group, as it is one file."""
+    """R1 for blocks (doc_id, block_ord, block_id, page_no, kind, section, text).
+
+    A document is one group, as it is one file. Blocks without text are in no
+    chunk; a document without any has no rows.
+    """
     ship(blocks.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -80,8 +80,9 @@ def run(spark: SparkSession, path: str, specs_: list[rules.Spec] | None = None,
     if retrieve:
         cut = chunks.chunk(blocks).join(docs.select("doc_id", "package_id", "precedence", "doc_type"), "doc_id")
         queries = retrieval.field_queries(spec_rows, rule_rows)
-        found = _search(cut, _per_package(docs, queries))
-        hits = found.join(cut.select("package_id", "chunk_id", "doc_id", "block_ids"), ["package_id", "chunk_id"]).select("doc_id", F.col("field"), F.explode("block_ids").alias("block_id")).distinct()
+        cut, _ = stage(cut, "chunks")
+        found = retrieval.search(cut, _per_package(docs, queries), part=["package_id"])
+        hits = found.join(cut.select("package_id", "chunk_id", "doc_id", "block_ids"), ["package_id", "chunk_id"]).select("doc_id", F.col("query_id").alias("field"), F.explode("block_ids").alias("block_id")).distinct()
         hits, _ = stage(hits, "hits")
 
     with_zone = blocks.join(docs.select("doc_id", "iana"), "doc_id", "left")
@@ -103,16 +104,3 @@ def _per_package(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Each package's queries: the fields are a fixed small list, so they are packed into one row."""
     packed = queries.agg(F.collect_list(F.struct("query_id", "text")).alias("qs"))
     return docs.select("package_id").distinct().join(F.broadcast(packed)).select("package_id", F.inline("qs"))
-
-
-def _search(cut: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
-    """The k best chunks of each package and field, by the share of a query's terms' idf that a chunk of the package holds."""
-    n = cut.groupBy("package_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    posts = retrieval.postings(cut.withColumn("chunk", F.struct("package_id", "chunk_id")), "chunk").select("chunk.package_id", "chunk.chunk_id", "dl", "term", "tf")
-    weights = posts.groupBy("package_id", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "package_id").withColumn("idf", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = cut.select("package_id", F.size(retrieval.tokenize(F.col("text"))).alias("dl")).groupBy("package_id").agg(F.avg("dl").alias("avgdl"))
-    terms = retrieval.query_terms(queries.withColumn("query", F.struct("package_id", F.col("query_id").alias("field"))), "query").select("query.package_id", "query.field", "term", "qtf")
-    part = F.col("idf") * F.col("qtf") * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(terms, ["package_id", "term"]).join(weights.select("package_id", "term", "idf"), ["package_id", "term"]).join(mean, "package_id").groupBy("package_id", "field", "chunk_id").agg(F.sum(part).alias("score"))
-    boosted = scored.join(cut.select("package_id", "chunk_id", "precedence"), ["package_id", "chunk_id"]).withColumn("score", F.round(retrieval.boost(F.col("score"), F.col("precedence")), 6))
-    return merge.first_rows(boosted.where("score > 0"), ["package_id", "field"], [F.desc("score"), F.col("chunk_id")], k).select("package_id", "field", "chunk_id")

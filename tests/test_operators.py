@@ -39,7 +39,8 @@ def test_chunks_keep_sections_budgets_and_overlap():
     blocks = [(f"b{i}", 1, "text", None, " ".join(["word"] * 200)) for i in range(7)]
     blocks.insert(3, ("h", 1, "heading", None, "Section Two"))
     found = chunks.pack(blocks, target=600, overlap=60)
-    assert [c["section"] for c in found] == [None, None, "Section Two", "Section Two", "Section Two"]
+    assert [c["section"] for c in found] == [None, None, *["Section Two"] * 4]
+    assert [c["block_ids"] for c in found] == [["b0", "b1"], ["b1", "b2"], ["b2", "h", "b3"], ["b3", "b4"], ["b4", "b5"], ["b5", "b6"]]
     assert {b for c in found for b in c["block_ids"]} == {b[0] for b in blocks}
     assert all(c["tokens"] <= 600 for c in found)
     assert found[1]["block_ids"][0] == found[0]["block_ids"][-1]
@@ -68,11 +69,32 @@ def test_questions_and_answers(spark):
 # --- Specifications and prices ---
 
 
-def test_price_schedules():
+def test_what_chunks_carry_over():
+    long, short = " ".join(["w"] * 900), " ".join(["w"] * 30)
+    # A long block stands alone; what was held before it is carried over, and flushed again at the end.
+    found = chunks.pack([("a", 1, "text", None, short), ("big", 1, "text", None, long), ("b", 2, "text", "S", " ")])
+    assert [(c["block_ids"], c["tokens"]) for c in found] == [(["a"], 39), (["big"], 1170), (["a"], 39)]
+    assert found[1]["text"] == long and chunks.pack([("x", 1, "text", None, long)], longest=80)[0]["text"] == long[:80]
+    # Blocks are carried over until they make the overlap, be it all.
+    assert [c["block_ids"] for c in chunks.pack([("a", 1, "text", None, short), ("b", 1, "text", None, short), ("h", 1, "heading", None, "H")], overlap=60)] == [["a", "b"], ["a", "b", "h"]]
+    assert [c["block_ids"] for c in chunks.pack([("a", 1, "text", None, short), ("h", 1, "heading", None, "H")], overlap=0)] == [["a"], ["h"]]
+    assert chunks.pack([]) == []
+
+
+def price_rows(spark, *grids):
+    blocks = spark.createDataFrame([("d", i, "table", g) for i, g in enumerate(grids)], "doc_id string, block_ord int, kind string, `table` array<array<string>>")
+    found = specs.price_rows(blocks).orderBy("block_ord", "pos").collect()
+    return [(r["line"], r["item"], r["target_quantity"], r["unit"]) for r in found]
+
+
+def test_price_schedules(spark):
     grid = [["Schedule", None, None], ["Line", "Item", "Target Quantity", "Unit"], ["15.01 Small Student Laptop", "", "50,000", "Each"], ["16 LAPTOPS - FOR EVALUATION", "", "", ""], ["18.01", "Staff Laptop", "10,000", "", "ea"]]
-    assert specs.price_rows(grid) == [("Line 15.01", "Small Student Laptop", "50,000", "Each"), ("Line 18.01", "Staff Laptop", "10,000", "ea")]
-    assert specs.price_rows([["Product Name", "Qty"], ["1. Laptop CC7802", "30"], ["2. Dock", "30"]]) == [("Line 1", "Laptop CC7802", "30", ""), ("Line 2", "Dock", "30", "")]
-    assert specs.price_rows([["the quantity of an order may change at any time", "x"]]) == []
+    assert price_rows(spark, grid) == [("Line 15.01", "Small Student Laptop", "50,000", "Each"), ("Line 18.01", "Staff Laptop", "10,000", "ea")]
+    assert price_rows(spark, [["Product Name", "Qty"], ["1. Laptop CC7802", "30"], ["2. Dock", "30"]]) == [("Line 1", "Laptop CC7802", "30", ""), ("Line 2", "Dock", "30", "")]
+    assert price_rows(spark, [["the quantity of an order may change at any time", "x"]]) == []
+    far = [["Line", "Item", "", "", "Quantity", "Unit"], ["7", "Dock", "12", "", "", "", "", "Each"], ["8", "Cable", "", "", "", "each"], ["", "Group", "", "", "", ""], ["9", None, "1"]]
+    assert price_rows(spark, far) == [("Line 7", "Dock", "12", "Each"), ("Line 8", "Cable", "", "each")]
+    assert price_rows(spark, [["a"], ["Qty", "Description"], ["1,200", "Bag", "x"]], [[None]]) == [("Line 1", "Bag", "1,200", "")]
 
 
 def test_specifications(spark):
