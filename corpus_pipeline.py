@@ -2,7 +2,9 @@
 
 run() applies STAGES to the documents table of sf_dir. Each stage's result is
 written as Parquet in the shared folder and read again as the next one's input.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever their names.
+Null, empty and very long texts, repeated rows and null ids are treated as the
+stage's operator says; an empty table gives an empty result.
 """
 
 from pyspark.sql import DataFrame
@@ -15,22 +17,22 @@ from docloom.llm.packing import pack
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
+    """Documents without an identifiable language go, each by its own text: null, empty and letter-free texts among them (keep_identified)."""
     return keep_identified(docs)
 
 
 def exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest id stays."""
+    """Of equal texts, the one with the largest id stays; of rows that repeat id and text, one (keep_distinct)."""
     return keep_distinct(docs)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the one with the smallest id stays."""
+    """Of each group of near duplicates, the one with the smallest id stays, and so do rows with a null id (keep_representatives)."""
     return keep_representatives(docs)
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed."""
+    """What is left, packed: pieces with their texts, in batches (pack)."""
     return pack(docs)
 
 

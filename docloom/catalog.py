@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import dates
 from docloom.functions import text as T
-from docloom.operators import chunks, classify, evaluate, merge, packages, report, retrieval, specs
+from docloom.operators import chunks, classify, evaluate, merge, packages, report, retrieval, rules, specs
 from docloom.sources import files
 
 QUERIES: dict = {}
@@ -96,11 +96,12 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL) OR text IS NULL")
 def anti_new_files(spark, sf_dir):
-    """What the cache (labels) does not have yet."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    """Documents whose content the cache (that of labelled documents) does not have yet."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    cached = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("content_hash", F.lit("2").alias("version"))
+    return files.unparsed(docs, cached, "2").select("doc_id", "content_hash")
 
 
 @query(
@@ -250,16 +251,15 @@ def same_instant(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer c
-      WHERE c_mktsegment <> 'BUILDING' OR NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_nationkey = c.c_nationkey AND o.c_mktsegment <> 'BUILDING') GROUP BY 1, 2)
-    SELECT c_nationkey, arg_max(c_mktsegment, (n, -first)) AS winner FROM v GROUP BY 1"""
+    """WITH d AS (SELECT c_nationkey, c_custkey, c_mktsegment = 'BUILDING' AS portal, ['CST', 'EDT', 'MST', 'PDT'][c_custkey * 7 % 5 % 4 + 1] AS zone FROM customer),
+    v AS (SELECT c_nationkey, zone, count(*) AS n, min(c_custkey) AS first FROM d WHERE NOT portal OR NOT EXISTS (SELECT 1 FROM d o WHERE o.c_nationkey = d.c_nationkey AND NOT o.portal) GROUP BY 1, 2)
+    SELECT c_nationkey AS package_id, arg_max(zone, (n, -first)) AS zone FROM v GROUP BY 1"""
 )
-def segment_vote(spark, sf_dir):
-    """T6's vote: the most frequent value, without one kind of voter unless it is alone; ties go to the first."""
-    c = table(spark, sf_dir, "customer")
-    only = F.min((F.col("c_mktsegment") == "BUILDING").cast("int")).over(Window.partitionBy("c_nationkey"))
-    tally = c.withColumn("only", only).where("only = 1 OR c_mktsegment <> 'BUILDING'").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
-    return tally.groupBy("c_nationkey").agg(F.max_by("c_mktsegment", F.struct("n", -F.col("first"))).alias("winner"))
+def zone_vote(spark, sf_dir):
+    """The zone that most documents of a package name, portal documents without a vote unless alone; ties go to the first."""
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("CST", "EDT", "MST", "PDT")]), (F.col("c_custkey") * 7 % 5 % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("package_id"), F.col("c_custkey").alias("doc_ord"), F.when(F.col("c_mktsegment") == "BUILDING", "portal_notice").otherwise("master_rfp").alias("doc_type"), F.concat(F.lit("due at 2 PM "), zone, F.lit(".")).alias("text"))
+    return dates.zone_votes(docs).select("package_id", "zone")
 
 
 # --- Classification --------------------------------------------------------
@@ -288,13 +288,13 @@ def classify_docs(spark, sf_dir):
 
 @query(
     """WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, left(text, 40) AS question, left(answer, 60) AS answer FROM t WHERE role = 'user' AND next_role = 'assistant'"""
+    SELECT conv_id, turn, left(text, 400) AS question, left(answer, 600) AS answer FROM t WHERE role = 'user' AND next_role = 'assistant'"""
 )
 def qa_turns(spark, sf_dir):
     """C6's pairs, from turns."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w))
-    return c.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.substring("text", 1, 40).alias("question"), F.substring("answer", 1, 60).alias("answer"))
+    return c.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.substring("text", 1, 400).alias("question"), F.substring("answer", 1, 600).alias("answer"))
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(sha256(coalesce(text, '')), turn) AS text_hash FROM conversations GROUP BY 1")
@@ -310,23 +310,20 @@ MAIL, PHONE = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|or
 
 
 def contacts(spark, sf_dir) -> DataFrame:
-    """Candidates of the contact rules, with a source as package and its lines as blocks."""
-    own = lines(spark, sf_dir).where(F.col("line").rlike(f"{MAIL}|{PHONE}"))
+    """Candidates of the contact rules, with a source as package and its lines as blocks. Lines that can hold neither are passed over before any pattern."""
+    found = [rules.Spec(n, n, rules=(rules.Rule(n, "pattern", n, 0.9, regex=p, multiplicity="every", group="0"),)) for n, p in (("email", MAIL), ("phone", PHONE))]
+    own = lines(spark, sf_dir).where(F.contains("line", F.lit("@")) | F.col("line").rlike(r"\d{4}"))
+    blocks = own.select("doc_id", "source", F.col("pos").alias("block_ord"), F.col("line").alias("text"), F.lit("text").alias("kind"), F.lit("master_rfp").alias("doc_type"), F.lit(None).cast("string").alias("section"))
+    return rules.pattern_hits(blocks, found).select("doc_id", "source", F.col("block_ord").alias("pos"), "match_ord", F.col("a.field").alias("rule"), F.col("hit.raw").alias("value"))
 
-    def found(kind: str, pattern: str):
-        return F.transform(F.regexp_extract_all("line", F.lit(pattern), 0), lambda v: F.struct(F.lit(kind).alias("rule"), v.alias("value")))
 
-    hits = F.concat(found("email", MAIL), found("phone", PHONE))
-    return own.withColumn("m", hits).select("doc_id", "source", "pos", F.posexplode("m").alias("match_ord", "hit")).select("doc_id", "source", "pos", "match_ord", F.col("hit.rule").alias("rule"), F.col("hit.value").alias("value"))
-
-
-@query(rf"WITH l AS ({LINES_SQL}) SELECT doc_id, pos, unnest(regexp_extract_all(line, '{MAIL}')) AS value FROM l")
+@query(rf"WITH l AS ({LINES_SQL}) SELECT doc_id, pos, unnest(regexp_extract_all(line, '(?i){MAIL}')) AS value FROM l")
 def contact_email(spark, sf_dir):
     """M3."""
     return contacts(spark, sf_dir).where(F.col("rule") == "email").select("doc_id", "pos", "value")
 
 
-@query(rf"WITH l AS ({LINES_SQL}) SELECT doc_id, pos, unnest(regexp_extract_all(line, '{PHONE}')) AS value FROM l")
+@query(rf"WITH l AS ({LINES_SQL}) SELECT doc_id, pos, unnest(regexp_extract_all(line, '(?i){PHONE}')) AS value FROM l")
 def contact_phone(spark, sf_dir):
     """M3."""
     return contacts(spark, sf_dir).where(F.col("rule") == "phone").select("doc_id", "pos", "value")
@@ -334,8 +331,8 @@ def contact_phone(spark, sf_dir):
 
 @query(
     rf"""WITH l AS ({LINES_SQL}), v AS (
-      SELECT source, doc_id, unnest(regexp_extract_all(line, '{MAIL}')) AS value FROM l UNION ALL
-      SELECT source, doc_id, unnest(regexp_extract_all(line, '{PHONE}')) FROM l)
+      SELECT source, doc_id, unnest(regexp_extract_all(line, '(?i){MAIL}')) AS value FROM l UNION ALL
+      SELECT source, doc_id, unnest(regexp_extract_all(line, '(?i){PHONE}')) FROM l)
     SELECT source, list_sort(list(DISTINCT lower(value))) AS contacts, count(*) AS n_evidence, min(doc_id) AS first_doc FROM v GROUP BY 1"""
 )
 def contact_resolved(spark, sf_dir):
@@ -594,12 +591,13 @@ def field_coverage(spark, sf_dir):
     return merge.coverage(resolved)
 
 
-@query("SELECT l_orderkey, l_linenumber, arg_max(l_partkey, (l_quantity, -l_partkey)) AS item, max(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_orderkey AS package_id, 'Line ' || l_linenumber AS line, arg_max(l_partkey, (l_quantity::BIGINT, -l_partkey))::VARCHAR AS item, max(l_quantity::BIGINT) AS quantity FROM lineitem GROUP BY 1, 2")
 def pricing_max_qty(spark, sf_dir):
-    """The largest quantity of each line."""
-    li = table(spark, sf_dir, "lineitem")
-    qty = T.qty_value(F.col("l_quantity").cast("bigint").cast("string"))
-    return li.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_partkey", F.struct("l_quantity", -F.col("l_partkey"))).alias("item"), F.max(qty).alias("quantity"))
+    """P5: the largest quantity of each line over a package's documents, of equal ones the earlier document's."""
+    li = table(spark, sf_dir, "lineitem").withColumn("doc_id", F.concat_ws("-", "l_orderkey", "l_partkey"))
+    priced = li.select("doc_id", F.concat(F.lit("Line "), "l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("item"), F.col("l_quantity").cast("bigint").cast("string").alias("target_quantity"), F.lit("each").alias("unit"))
+    docs = li.select("doc_id", F.col("l_orderkey").alias("package_id"), F.lit(40).alias("precedence"), F.col("l_partkey").alias("doc_ord")).distinct()
+    return specs.merge_pricing(priced, docs).select("package_id", "line", "item", T.qty_value(F.col("target_quantity")).alias("quantity"))
 
 
 @query(

@@ -66,3 +66,35 @@ def markdown(resolved: DataFrame, documents: DataFrame, conflicts: DataFrame) ->
     out = fields.join(docs, "package_id", "left").join(found, "package_id", "left")
     text = F.concat(F.lit("# "), F.col("package_id"), F.lit("\n\n| document | type | precedence |\n|-|-|-|\n"), F.coalesce("docs", F.lit("")), F.lit("\n\n| field | value | confidence | reason |\n|-|-|-|-|\n"), F.col("fields"), F.lit("\n\n"), F.coalesce("conflicts", F.lit("No conflicts.")), F.lit("\n"))
     return out.select("package_id", text.alias("markdown"))
+
+
+def document_json(single: DataFrame, documents: DataFrame) -> DataFrame:
+    """K3: doc_id and a JSON document of its own values; single is resolved by document, package_id being the doc_id."""
+    fields = single.groupBy(F.col("package_id").alias("doc_id")).agg(
+        F.count_if("present").alias("populated_fields"),
+        F.collect_list(F.struct("field", "norm_str", "norm_list", "norm_map", "confidence", "present", "null_reason", "evidence")).alias("fields"),
+    )
+    wanted = [c for c in ("doc_id", "file_name", "path", "file_format", "doc_type", "precedence", "page_count", "addendum_number", "amendment_notes") if c in documents.columns]
+    both = documents.select(*wanted).join(fields, "doc_id", "left")
+    return both.select("doc_id", F.to_json(F.struct(*both.columns)).alias("json"))
+
+
+def consolidated_json(packages: DataFrame) -> DataFrame:
+    """K2: one line of JSON per package, ready to be written as one JSON-lines table; a single document would have to fit one task."""
+    return packages.select(F.concat(F.lit('{"package_id":'), F.to_json(F.array("package_id")).substr(F.lit(2), F.char_length(F.to_json(F.array("package_id"))) - 2), F.lit(',"result":'), "json", F.lit("}")).alias("value"))
+
+
+def evaluation_json(scores: DataFrame) -> DataFrame:
+    """K4: a line of JSON per package, and one with package_id null for all: passed, total, accuracy and the failed checks."""
+    failed = F.struct("field", "check", "expected", "actual")
+    rows = scores.groupingSets([["package_id"], []], "package_id").agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("accuracy"), F.sort_array(F.collect_list(F.when(~F.col("passed"), failed))).alias("failed"))
+    return rows.select(F.to_json(F.struct("package_id", "passed", "total", "accuracy", "failed"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write(result, out: str) -> None:
+    """K1 to K3 and K5 of a plan's result, below a folder."""
+    packages = package_json(result.resolved, result.documents, result.conflicts, result.pricing)
+    write_packages(packages, f"{out}/packages")
+    consolidated_json(packages).write.mode("overwrite").text(f"{out}/all")
+    document_json(result.per_document, result.documents).write.partitionBy("doc_id").mode("overwrite").text(f"{out}/per_document")
+    markdown(result.resolved, result.documents, result.conflicts).write.partitionBy("package_id").mode("overwrite").text(f"{out}/report")
