@@ -438,7 +438,7 @@ def id_counts(tokens: DataFrame, layout: Layout | None = None) -> np.ndarray:
 def dealt(tokens: DataFrame, tasks: int) -> DataFrame:
     """tokens and shard of tokens (doc_id, tokens), a shard whole and sorted in one task. A document's shard, and its place there, follow from its id and tokens."""
     hashed = tokens.select("tokens", F.xxhash64("doc_id", "tokens").alias("at")).withColumn("shard", F.pmod("at", F.lit(tasks)))
-    return hashed.repartition(tasks, "shard").sortWithinPartitions("shard", "at", "tokens").select("tokens", "shard")
+    return hashed.repartitionById(tasks, F.col("shard").cast("int")).sortWithinPartitions("shard", "at", "tokens").select("tokens", "shard")
 
 
 def train(tokens: DataFrame, rounds: int = ROUNDS, frequency: np.ndarray | None = None, layout: Layout | None = None) -> dict[str, np.ndarray]:
