@@ -54,8 +54,12 @@ HELD_WORDS = 200_000
 HEAD_WORDS = 100_000
 #: Logarithms of counts are whole numbers of 1 / SCALE, so that sums do not depend on the order of tasks.
 SCALE = 10**9
-#: Tokens scored at once.
-TOKENS = 1 << 12
+#: Tokens scored at once, and those of them whose classes are.
+TOKENS, CLASS_TOKENS = 1 << 14, 1 << 10
+#: Rows of one class that are worked on as one block.
+ROWS = 64
+#: Exponent of a place that no word has.
+MASKED = -1e9
 #: Exponents that are taken as they are; larger ones are taken relative to the largest of their row.
 SAFE = 60.0
 
@@ -142,6 +146,11 @@ class Layout:
         self.place[self.members] = np.arange(len(members))
         self.size = np.bincount(self.classes[self.members], minlength=VOCABULARY)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        # Members of each class as rows of one length; what a class lacks of it is masked.
+        columns = np.arange(max(1, int(self.size.max())))
+        self.held = columns < self.size[:, None]
+        self.grid = np.where(self.held, self.start[:, None] + columns, 0)
+        self.mask = np.where(self.held, 0, MASKED).astype(np.float32)
 
     def __len__(self) -> int:
         return len(self.classes)
@@ -261,42 +270,63 @@ def hidden(net, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def _log_softmax(h: np.ndarray, out: np.ndarray, prior: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log-softmax of column own[i] in row i of h @ out.T + prior. Components of h are within -1 and 1."""
-    most = float((np.abs(out).sum(1) + np.abs(prior)).max())
-    # The prior is one more input that is always 1.
-    logits = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1) @ np.concatenate([out, prior[:, None]], 1).T
-    picked = logits[np.arange(len(h)), own]
+def _log_sums(logits: np.ndarray, most: float) -> np.ndarray:
+    """Logarithms of the sums of exponentials along the last axis; logits are overwritten. most bounds their size, masked places aside."""
     if most > SAFE:
-        top = logits.max(1)
-        logits -= top[:, None]
-        return picked - top - np.log(np.exp(logits, out=logits).sum(1))
-    return picked - np.log(np.exp(logits, out=logits).sum(1))
+        top = logits.max(-1)
+        logits -= top[..., None]
+        return top + np.log(np.exp(logits, out=logits).sum(-1))
+    return np.log(np.exp(logits, out=logits).sum(-1))
+
+
+def _bound(out: np.ndarray, prior: np.ndarray) -> float:
+    """The size that h @ out.T + prior has at most, for components of h within -1 and 1."""
+    return float((np.abs(out).sum(1) + np.abs(prior)).max(initial=0))
 
 
-def _by_class(classes: np.ndarray, layout: Layout):
-    """(class, rows of that class) for each shared class of several words."""
+def _blocks(classes: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of shared classes of several words, in blocks of ROWS places for rows of one class: the class of each block, sorted, the rows, and their places."""
     rows = np.flatnonzero(layout.size[classes] > 1)
+    rows = rows[np.argsort(classes[rows].astype(np.uint8), kind="stable")]
     own = classes[rows]
-    order = np.argsort(own.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(own, minlength=VOCABULARY))
-    for c in np.flatnonzero(np.bincount(own, minlength=VOCABULARY)):
-        yield c, rows[order[ends[c - 1] : ends[c]]]
+    counts = np.bincount(own, minlength=VOCABULARY)
+    blocks = -(-counts // ROWS)
+    skipped = (np.cumsum(blocks) - blocks) * ROWS - (np.cumsum(counts) - counts)
+    return np.repeat(np.arange(VOCABULARY), blocks), rows, np.arange(len(rows)) + skipped[own]
+
+
+def _placed(h: np.ndarray, rows: np.ndarray, at: np.ndarray, blocks: int) -> np.ndarray:
+    mine = np.zeros((blocks * ROWS, HIDDEN), h.dtype)
+    mine[at] = h[rows]
+    return mine.reshape(blocks, ROWS, HIDDEN)
 
 
 def log_probabilities(net, tokens: np.ndarray, at: np.ndarray, layout: Layout | None = None) -> np.ndarray:
     """Log-probability of each token at `at`, given its neighbours but not itself."""
     layout = layout or Layout()
     out = np.empty(len(at))
+    # The prior is one more input that is always 1.
+    outer = np.ascontiguousarray(np.concatenate([net["out"][1:], net["prior"][1:, None]], 1).T)
+    outer_most, inner_most = _bound(net["out"][1:], net["prior"][1:]), _bound(net["inner"], net["inner_prior"])
+    inner, inner_prior = net["inner"][layout.grid].transpose(0, 2, 1), net["inner_prior"][layout.grid] + layout.mask
     for i in range(0, len(at), TOKENS):
         part = at[i : i + TOKENS]
         target = tokens[part].astype(np.int64)
         classes = layout.classes[target]
-        h = hidden(net, tokens, part)
-        found = _log_softmax(h, net["out"][1:], net["prior"][1:], classes - 1).astype(float)
-        for c, rows in _by_class(classes, layout):
-            own = slice(layout.start[c], layout.start[c] + layout.size[c])
-            found[rows] += _log_softmax(h[rows], net["inner"][own], net["inner_prior"][own], layout.place[target[rows]] - layout.start[c])
+        h = np.ones((len(part), HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = hidden(net, tokens, part)
+        found = np.empty(len(part))
+        for j in range(0, len(part), CLASS_TOKENS):
+            some = slice(j, min(j + CLASS_TOKENS, len(part)))
+            logits = h[some] @ outer
+            picked = logits[np.arange(len(logits)), classes[some] - 1]
+            found[some] = picked - _log_sums(logits, outer_most)
+        own, rows, places = _blocks(classes, layout)
+        if len(rows):
+            logits = _placed(h[:, :HIDDEN], rows, places, len(own)) @ inner[own]
+            logits += inner_prior[own][:, None]
+            picked = logits.reshape(len(own) * ROWS, -1)[places, layout.place[target[rows]] - layout.start[classes[rows]]]
+            found[rows] += picked - _log_sums(logits, inner_most).ravel()[places]
         out[i : i + TOKENS] = found
     return out
 
@@ -348,37 +378,44 @@ class Trainer:
         out[drawn] = p.T @ h
         prior = np.bincount(target, q, VOCABULARY).astype(np.float32)
         prior[drawn] += p.sum(0)
-        v, rows = _grouped(target.astype(np.uint8), q[:, None] * h)
-        out[v] += rows
-        for c, rows in _by_class(target, layout):
-            self._step_inner(slice(layout.start[c], layout.start[c] + layout.size[c]), rows, layout.place[word[rows]] - layout.start[c], h, back, n)
+        out += _summed(target, q[:, None] * h, VOCABULARY)
+        self._step_inner(word, target, h, back, n)
         back *= 1 - h * h
         for k, o in enumerate(OFFSETS):
-            v, rows = _grouped(tokens[at + o], back)
-            self._apply("tables", (k, v), rows)
+            self._apply("tables", k, _summed(tokens[at + o], back, len(layout)))
         self._apply("bias", slice(None), back.sum(0))
         self._apply("out", slice(None), out)
         self._apply("prior", slice(None), prior)
 
-    def _step_inner(self, own: slice, rows: np.ndarray, places: np.ndarray, h: np.ndarray, back: np.ndarray, n: int) -> None:
-        inner, mine = self.net["inner"][own], h[rows]
-        p = mine @ inner.T
-        p += self.net["inner_prior"][own]
-        p -= p.max(1, keepdims=True)
+    def _step_inner(self, word: np.ndarray, target: np.ndarray, h: np.ndarray, back: np.ndarray, n: int) -> None:
+        layout = self.layout
+        own, rows, at = _blocks(target, layout)
+        if not len(rows):
+            return
+        grid, mine = layout.grid[own], _placed(h, rows, at, len(own))
+        inner = self.net["inner"][grid]
+        p = mine @ inner.transpose(0, 2, 1)
+        p += (self.net["inner_prior"][grid] + layout.mask[own])[:, None]
+        p -= p.max(2, keepdims=True)
         np.exp(p, out=p)
-        p *= (1 / (p.sum(1) * n))[:, None]
-        p[np.arange(len(rows)), places] -= 1 / n
-        back[rows] += p @ inner
-        self._apply("inner", own, p.T @ mine)
-        self._apply("inner_prior", own, p.sum(0))
-
-
-def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first].astype(np.int64), np.add.reduceat(rows[order], first, axis=0)
+        by_row = p.reshape(len(own) * ROWS, -1)
+        scale = np.zeros(len(by_row), np.float32)  # stays 0 at places without a row
+        scale[at] = 1 / (by_row.sum(1)[at] * n)
+        by_row *= scale[:, None]
+        by_row[at, layout.place[word[rows]] - layout.start[target[rows]]] -= 1 / n
+        back[rows] += (p @ inner).reshape(-1, HIDDEN)[at]
+        # Blocks of one class follow one another.
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        held = layout.held[own[first]]
+        members = layout.grid[own[first]][held]
+        self._apply("inner", members, np.add.reduceat(p.transpose(0, 2, 1) @ mine, first, axis=0)[held])
+        self._apply("inner_prior", members, np.add.reduceat(p.sum(1), first, axis=0)[held])
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of each key below size."""
+    at = keys.astype(np.int64)[:, None] * HIDDEN + np.arange(HIDDEN)
+    return np.bincount(at.ravel(), rows.ravel(), size * HIDDEN).reshape(size, HIDDEN).astype(np.float32)
 
 
 # --- Spark -----------------------------------------------------------------
