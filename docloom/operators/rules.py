@@ -55,7 +55,10 @@ class Spec:
 
 
 def load(path: str | Path) -> list[Spec]:
-    """Field specs from a YAML file: a list `fields`, each with labels, patterns and sentence_patterns."""
+    """Field specs from a YAML file: a list `fields`, each with labels, patterns and sentence_patterns.
+
+    The rules that `fixed` holds by field, if it is there, come first.
+    """
     import yaml
 
     def rule(name: str, kind: str, i: int, given: dict) -> Rule:
@@ -63,8 +66,10 @@ def load(path: str | Path) -> list[Spec]:
         return Rule(name, kind, given.get("name", f"{kind}{i}"), float(given["confidence"]), given.get("regex", ""), tuple(given.get("labels", ())), tuple(given.get("doc_types", ())), tuple(given.get("sections", ())), **known)
 
     out = []
-    for f in yaml.safe_load(Path(path).read_text(encoding="utf-8"))["fields"]:
-        rules = [rule(f["name"], kind, i, g) for key, kind in (("labels", "label"), ("patterns", "pattern"), ("sentence_patterns", "sentence")) for i, g in enumerate(f.get(key) or [])]
+    given = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    for f in given["fields"]:
+        fixed = given.get("fixed", {}).get(f["name"], {})
+        rules = [rule(f["name"], kind, i, g) for key, kind in (("labels", "label"), ("patterns", "pattern"), ("sentence_patterns", "sentence")) for i, g in enumerate(fixed.get(key, []) + (f.get(key) or []))]
         known = {k: f[k] for k in ("description", "kind", "scope", "merge", "null_reason") if k in f}
         out.append(Spec(f["name"], f.get("alias", f["name"]), rules=tuple(rules), **known))
     return out
