@@ -126,9 +126,16 @@ def span_around(c: Column, start: Column, end: Column, margin: int = 80) -> Colu
 
 def distinct_ignoring_case(items: Column) -> Column:
     """The first of each set of items that differ in case only, in order."""
-    pairs = F.transform(items, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))
-    keys = F.transform(items, F.lower)
-    return F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["v"])
+
+    def first(xs: Column) -> Column:
+        return once(F.transform(xs, F.lower), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1))
+
+    return once(items, first)
+
+
+def once(c: Column, use) -> Column:
+    """use(c) with c worked out once a row, even where a lambda within names it for every element."""
+    return F.element_at(F.transform(F.array(c), use), 1)
 
 
 def to_list(c: Column) -> Column:

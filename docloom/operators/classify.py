@@ -87,7 +87,8 @@ def addendum_number(file_name: Column, text: Column) -> Column:
 
 def supersession_notes(text: Column, most: int = 8) -> Column:
     """Sentences that replace earlier ones, of 25 to 400 characters."""
-    found = F.transform(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 0) for p in SUPERSEDES])), squish)
+    # A sentence that has no match from its start on has none from later on, so only starts are tried.
+    found = F.transform(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(r"(?<![^.])" + p), 0) for p in SUPERSEDES])), squish)
     return F.slice(distinct_ignoring_case(F.filter(found, lambda x: F.char_length(x).between(25, 400))), 1, most)
 
 
