@@ -346,8 +346,9 @@ def contact_resolved(spark, sf_dir):
 )
 def sku_guarded(spark, sf_dir):
     """M3 with guards before and after."""
-    p = r"(?<![\d)\-])(\d{3}-[0-9A-Z]{4})(?![\d\-])"
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(p)).select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), 1))).alias("skus"))
+    rule = rules.Rule("sku", "pattern", "sku", 0.9, regex=r"(?<![\d)\-])(?P<value>(?-i:\d{3}-[0-9A-Z]{4}))(?![\d\-])", multiplicity="every")
+    blocks = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("block_ord"), F.lit("master_rfp").alias("doc_type"), F.lit(None).cast("string").alias("section"))
+    return rules.pattern_hits(blocks, [rules.Spec("sku", "sku", rules=(rule,))]).groupBy("doc_id").agg(F.array_sort(F.collect_set("hit.raw")).alias("skus"))
 
 
 @query(
