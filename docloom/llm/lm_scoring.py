@@ -27,16 +27,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import stage, table
-from docloom.llm.near_dedup import slices, words
 from docloom.ship import ship
 
 #: Classes: 0 stands beyond the ends; then come the FREQUENT most frequent words; all others share the rest by their last two bytes.
@@ -48,6 +46,8 @@ ROUNDS, RATE, BATCH, NEGATIVES = 3, 0.1, 8192, 64
 #: Words that a training task goes through, and that a scoring task scores, about.
 TASK_TOKENS = 1_500_000
 FAN_IN = 16
+#: Bytes of texts that are cut into words at once, about.
+PART = 1 << 22
 #: Distinct words that a task holds at once.
 HELD_WORDS = 200_000
 #: Words whose counts are broadcast, at most; the counts of all others are joined.
@@ -56,9 +56,7 @@ HEAD_WORDS = 100_000
 SCALE = 10**9
 #: Tokens scored at once, and those of them whose classes are.
 TOKENS, CLASS_TOKENS = 1 << 14, 1 << 10
-#: Rows of one class that are worked on as one block.
-ROWS = 64
-#: Exponent of a place that no word has.
+#: Exponent of what does not count.
 MASKED = -1e9
 #: Exponents that are taken as they are; larger ones are taken relative to the largest of their row.
 SAFE = 60.0
@@ -66,26 +64,63 @@ SAFE = 60.0
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
 
+def keep_memory() -> None:
+    """Let the process reuse freed arrays.
+
+    glibc gives freed blocks above a threshold back to the system at once and
+    takes them anew page by page. Freeing a block raises the threshold to its
+    size, up to 32 MB. This one is never written to, so it takes no memory.
+    """
+    np.empty((32 << 20) - (64 << 10), np.uint8)
+
+
 # --- Tokens ----------------------------------------------------------------
 
 
+def _parts(texts: pa.Array):
+    """(start, words, ends) of whole texts of about PART bytes: their words one after the other, and where those of each text end.
+
+    The words are those of near_dedup.words().
+    """
+    texts = texts.fill_null("")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + PART, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, j - i)))
+        found, ends = lists.flatten().cast(pa.binary()), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+        # White space at either end leaves an empty word.
+        real = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0
+        if not real.all():
+            found, ends = found.filter(pa.array(real)), _up_to(real, ends)
+        yield i, found, ends
+        i = j
+
+
+def _up_to(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of the values before each end."""
+    return np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends]
+
+
 def _count(batches):
-    seen: Counter = Counter()
+    held, n = [], 0
 
-    def rows():
-        found = list(seen.items())
-        for at in range(0, len(found), 20_000):
-            part = found[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+    def merged():
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     for batch in batches:
-        for _, texts in slices(batch.column(0)):
-            for t in texts:
-                seen.update(words(t))
-            if len(seen) > HELD_WORDS:
-                yield from rows()
-                seen.clear()
-    yield from rows()
+        for _, found, _ in _parts(batch.column(0)):
+            found = found.dictionary_encode()
+            held.append(pa.table({"word": found.dictionary, "n": np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))}))
+            n += len(found.dictionary)
+            if n > 2 * HELD_WORDS:
+                held = [merged()]
+                n = len(held[0])
+                if n > HELD_WORDS:
+                    yield from held[0].to_batches(20_000)
+                    held, n = [], 0
+    if held:
+        yield from merged().to_batches(20_000)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -146,11 +181,6 @@ class Layout:
         self.place[self.members] = np.arange(len(members))
         self.size = np.bincount(self.classes[self.members], minlength=VOCABULARY)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        # Members of each class as rows of one length; what a class lacks of it is masked.
-        columns = np.arange(max(1, int(self.size.max())))
-        self.held = columns < self.size[:, None]
-        self.grid = np.where(self.held, self.start[:, None] + columns, 0)
-        self.mask = np.where(self.held, 0, MASKED).astype(np.float32)
 
     def __len__(self) -> int:
         return len(self.classes)
@@ -160,63 +190,53 @@ class Layout:
         return np.uint16 if len(self) > VOCABULARY else np.uint8
 
 
-class Ids(dict):
-    """Ids of words; those beyond the vocabulary are worked out by their last two bytes and not held beyond a bound."""
-
-    def __init__(self, frequent: list[bytes], further: list[bytes] | tuple = ()):
-        super().__init__({w: i + 1 for i, w in enumerate(frequent)} | {w: VOCABULARY + i for i, w in enumerate(further)})
-        self.fixed = len(self)
+def further_words(counted: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS) -> list[bytes]:
+    """The vocabulary's words after the FREQUENT most frequent ones."""
+    return most_frequent(counted.where(F.col("n") >= min_count), FREQUENT + most)[FREQUENT:]
 
-    def __missing__(self, word: bytes) -> int:
-        i = shared_class(word)
-        if len(self) < self.fixed + HELD_WORDS:
-            self[word] = i
-        return i
 
+def _shared_classes(found: pa.Array) -> np.ndarray:
+    """shared_class() of each word."""
+    ends = pc.binary_slice(found, -2).dictionary_encode()
+    return np.array([*map(shared_class, ends.dictionary.to_pylist()), 0], np.int64)[ends.indices.to_numpy()]
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
 
-
-def further_words(counted: DataFrame, min_count: int = MIN_COUNT, most: int = MAX_WORDS) -> list[bytes]:
-    """The vocabulary's words after the FREQUENT most frequent ones."""
-    return most_frequent(counted.where(F.col("n") >= min_count), FREQUENT + most)[FREQUENT:]
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the values up to each end."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _tokenise(frequent: list[bytes], head=None, further: list[bytes] | tuple = ()):
     """doc_id and tokens of doc_id, text; with head, the broadcast scaled logarithms of counts, of row, text, doc_id also the sum over the words it has and the words it lacks."""
-    code = "H" if len(further) else "B"
+    dtype = np.uint16 if len(further) else np.uint8
 
-    def counted(batches):
-        ids, logs = Ids(frequent, further), head.value | dict.fromkeys([*frequent, *further], 0)
-        # One look-up a word: its place in the arrays of ids and logarithms, or the last place for words without one.
-        places = _Places(zip(logs, range(len(logs))))
-        id_at = np.array([*map(ids.__getitem__, logs), 0], np.uint16 if code == "H" else np.uint8)
+    def run(batches):
+        keep_memory()
+        ids = {w: i + 1 for i, w in enumerate(frequent)} | {w: VOCABULARY + i for i, w in enumerate(further)}
+        # Words of the vocabulary have their probability in context, so their counts add nothing.
+        logs = ({} if head is None else head.value) | dict.fromkeys(ids, 0)
+        known = pa.array(list(logs), pa.binary())
+        # Id and logarithm by place among the known words; the last place is that of all other words.
+        id_at = np.array([*(ids.get(w, -1) for w in logs), -1], np.int64)
         log_at = np.array([*logs.values(), 0], np.int64)
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
-                tokens, known, tail = [], [], []
-                for t in texts:
-                    ws = words(t)
-                    own = np.fromiter(map(places.__getitem__, ws), np.int64, len(ws))
-                    missing = np.flatnonzero(own < 0)
-                    found = id_at[own]
-                    rest = [ws[i] for i in missing]
-                    found[missing] = [ids[w] for w in rest]
-                    tokens.append(found.tobytes())
-                    known.append(int(log_at[own].sum()))
-                    tail.append(rest)
-                columns = [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(tokens, pa.binary()), pa.array(known, pa.int64()), pa.array(tail, pa.list_(pa.binary()))]
+            for at, found, ends in _parts(batch.column(1)):
+                found = found.dictionary_encode()
+                distinct, own = found.dictionary, found.indices.to_numpy()
+                place = pc.index_in(distinct, value_set=known).fill_null(len(known)).to_numpy()
+                of_word = np.where(id_at[place] < 0, _shared_classes(distinct), id_at[place]).astype(dtype)
+                tokens = _binaries(of_word[own], ends)
+                if head is None:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), tokens], names=["doc_id", "tokens"])
+                    continue
+                lacking = (place == len(known))[own]
+                tail = pa.ListArray.from_arrays(np.concatenate([[0], _up_to(lacking, ends)]).astype(np.int32), distinct.take(pa.array(own[lacking])))
+                logged = np.diff(_up_to(log_at[place][own], ends), prepend=0)
+                columns = [batch.column(0).slice(at, len(ends)), batch.column(2).slice(at, len(ends)), tokens, pa.array(logged, pa.int64()), tail]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "tokens", "known", "tail"])
 
-    def run(batches):
-        ids = Ids(frequent, further)
-        for batch in batches:
-            for at, texts in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([array(code, map(ids.__getitem__, words(t))).tobytes() for t in texts], pa.binary())], names=["doc_id", "tokens"])
-
-    return run if head is None else counted
+    return run
 
 
 # --- The network -----------------------------------------------------------
@@ -266,17 +286,22 @@ def padded(docs: list[bytes], dtype=np.uint8) -> tuple[np.ndarray, np.ndarray]:
 def hidden(net, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = np.broadcast_to(net["bias"], (len(at), HIDDEN)).copy()
     for k, o in enumerate(OFFSETS):
-        h += net["tables"][k][tokens[at + o]]
+        h += net["tables"][k].take(tokens[at + o], 0)
     return np.tanh(h, out=h)
 
 
+def _sums(p: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a product, which takes a fraction of the time of sum()."""
+    return p @ np.ones(p.shape[-1], p.dtype)
+
+
 def _log_sums(logits: np.ndarray, most: float) -> np.ndarray:
-    """Logarithms of the sums of exponentials along the last axis; logits are overwritten. most bounds their size, masked places aside."""
+    """Logarithms of the sums of exponentials along the last axis; logits are overwritten. most bounds their size."""
     if most > SAFE:
         top = logits.max(-1)
         logits -= top[..., None]
-        return top + np.log(np.exp(logits, out=logits).sum(-1))
-    return np.log(np.exp(logits, out=logits).sum(-1))
+        return top + np.log(_sums(np.exp(logits, out=logits)))
+    return np.log(_sums(np.exp(logits, out=logits)))
 
 
 def _bound(out: np.ndarray, prior: np.ndarray) -> float:
@@ -284,50 +309,53 @@ def _bound(out: np.ndarray, prior: np.ndarray) -> float:
     return float((np.abs(out).sum(1) + np.abs(prior)).max(initial=0))
 
 
-def _blocks(classes: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of shared classes of several words, in blocks of ROWS places for rows of one class: the class of each block, sorted, the rows, and their places."""
-    rows = np.flatnonzero(layout.size[classes] > 1)
-    rows = rows[np.argsort(classes[rows].astype(np.uint8), kind="stable")]
-    own = classes[rows]
-    counts = np.bincount(own, minlength=VOCABULARY)
-    blocks = -(-counts // ROWS)
-    skipped = (np.cumsum(blocks) - blocks) * ROWS - (np.cumsum(counts) - counts)
-    return np.repeat(np.arange(VOCABULARY), blocks), rows, np.arange(len(rows)) + skipped[own]
+def with_column(rows: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return np.concatenate([rows, last[:, None]], 1)
+
+
+def with_ones(h: np.ndarray) -> np.ndarray:
+    """Hidden rows with one more input that is always 1, whose weight is the prior."""
+    return with_column(h, np.ones(len(h), np.float32))
+
 
+def _firsts(classes: np.ndarray) -> np.ndarray:
+    """Where each class begins among sorted ones."""
+    return np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
 
-def _placed(h: np.ndarray, rows: np.ndarray, at: np.ndarray, blocks: int) -> np.ndarray:
-    mine = np.zeros((blocks * ROWS, HIDDEN), h.dtype)
-    mine[at] = h[rows]
-    return mine.reshape(blocks, ROWS, HIDDEN)
+
+def _classes(classes: np.ndarray, layout: Layout):
+    """Each class of several words among sorted ones, the slice of its rows, and that of its members."""
+    first = _firsts(classes)
+    for c, start, stop in zip(classes[first].tolist(), first.tolist(), [*first[1:].tolist(), len(classes)]):
+        if layout.size[c] > 1:
+            yield c, slice(start, stop), slice(int(layout.start[c]), int(layout.start[c] + layout.size[c]))
 
 
 def log_probabilities(net, tokens: np.ndarray, at: np.ndarray, layout: Layout | None = None) -> np.ndarray:
     """Log-probability of each token at `at`, given its neighbours but not itself."""
     layout = layout or Layout()
     out = np.empty(len(at))
-    # The prior is one more input that is always 1.
-    outer = np.ascontiguousarray(np.concatenate([net["out"][1:], net["prior"][1:, None]], 1).T)
+    outer = np.ascontiguousarray(with_column(net["out"][1:], net["prior"][1:]).T)
+    inner = with_column(net["inner"], net["inner_prior"])
     outer_most, inner_most = _bound(net["out"][1:], net["prior"][1:]), _bound(net["inner"], net["inner_prior"])
-    inner, inner_prior = net["inner"][layout.grid].transpose(0, 2, 1), net["inner_prior"][layout.grid] + layout.mask
     for i in range(0, len(at), TOKENS):
         part = at[i : i + TOKENS]
-        target = tokens[part].astype(np.int64)
-        classes = layout.classes[target]
-        h = np.ones((len(part), HIDDEN + 1), np.float32)
-        h[:, :HIDDEN] = hidden(net, tokens, part)
+        word = tokens[part].astype(np.int64)
+        order = np.argsort(layout.classes[word].astype(np.uint8), kind="stable")
+        part, word = part[order], word[order]
+        classes = layout.classes[word]
+        h = with_ones(hidden(net, tokens, part))
         found = np.empty(len(part))
         for j in range(0, len(part), CLASS_TOKENS):
             some = slice(j, min(j + CLASS_TOKENS, len(part)))
             logits = h[some] @ outer
             picked = logits[np.arange(len(logits)), classes[some] - 1]
             found[some] = picked - _log_sums(logits, outer_most)
-        own, rows, places = _blocks(classes, layout)
-        if len(rows):
-            logits = _placed(h[:, :HIDDEN], rows, places, len(own)) @ inner[own]
-            logits += inner_prior[own][:, None]
-            picked = logits.reshape(len(own) * ROWS, -1)[places, layout.place[target[rows]] - layout.start[classes[rows]]]
-            found[rows] += picked - _log_sums(logits, inner_most).ravel()[places]
-        out[i : i + TOKENS] = found
+        for c, rows, members in _classes(classes, layout):
+            logits = h[rows] @ inner[members].T
+            picked = logits[np.arange(len(logits)), layout.place[word[rows]] - members.start]
+            found[rows] += picked - _log_sums(logits, inner_most)
+        out[i + order] = found
     return out
 
 
@@ -349,73 +377,88 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
 
     def _apply(self, key: str, where, gradient: np.ndarray) -> None:
-        squares = self.squares[key][where] + gradient * gradient
-        self.squares[key][where] = squares
-        self.net[key][where] -= RATE * gradient / np.sqrt(squares)
+        squares, values = self.squares[key][where], self.net[key][where]
+        squares += gradient * gradient
+        gradient *= RATE
+        gradient /= np.sqrt(squares)
+        values -= gradient
 
     def step(self, tokens: np.ndarray, at: np.ndarray) -> None:
-        n, net, layout = len(at), self.net, self.layout
+        net, layout = self.net, self.layout
         word = tokens[at].astype(np.int64)
         target = layout.classes[word]
+        # Rows of one class follow one another, so that their gradients are sums of slices.
+        order = np.argsort(target.astype(np.uint8), kind="stable")
+        at, word, target = at[order], word[order], target[order]
         h = hidden(net, tokens, at)
+        with_one, back = with_ones(h), np.empty_like(h)
+        outer = self._step_classes(target, with_one, back)
+        inner = self._step_inner(word, target, with_one, back)
+        np.multiply(h, h, out=h)
+        back *= np.subtract(1, h, out=h)
+        sums, by_place = np.empty((HIDDEN, len(layout))), np.ascontiguousarray(back.T, np.float64)
+        for k, o in enumerate(OFFSETS):
+            keys = tokens[at + o].astype(np.int64)
+            for values, into in zip(by_place, sums):
+                into[:] = np.bincount(keys, values, len(layout))
+            self._apply("tables", k, sums.T.astype(np.float32, order="C"))
+        self._apply("bias", slice(None), back.sum(0))
+        self._apply("out", slice(None), outer[:, :HIDDEN])
+        self._apply("prior", slice(None), outer[:, HIDDEN])
+        self._apply("inner", slice(None), inner[:, :HIDDEN])
+        self._apply("inner_prior", slice(None), inner[:, HIDDEN])
+
+    def _step_classes(self, target: np.ndarray, h: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Sets back to the gradient of the hidden rows h of the classes target, sorted, and returns that of out and prior."""
+        n, outer = len(target), with_column(self.net["out"], self.net["prior"])
         drawn = np.unique(self.rng.choice(VOCABULARY, NEGATIVES, p=self.chance))
-        off = np.log(1 - (1 - self.chance) ** NEGATIVES + 1e-12).astype(np.float32)
-        logits = h @ net["out"][drawn].T
-        logits += (net["prior"] - off)[drawn]
+        negatives = outer[drawn]
+        negatives[:, HIDDEN] -= np.log(1 - (1 - self.chance[drawn]) ** NEGATIVES + 1e-12).astype(np.float32)
+        relative = max(_bound(outer[:, :HIDDEN], outer[:, HIDDEN]), _bound(negatives[:, :HIDDEN], negatives[:, HIDDEN])) > SAFE
         where = np.full(VOCABULARY, -1)
         where[drawn] = np.arange(len(drawn))
-        twice = np.flatnonzero(where[target] >= 0)
-        logits[twice, where[target[twice]]] = -1e9  # the target counts once
-        own = np.einsum("ij,ij->i", h, net["out"][target]) + net["prior"][target]
-        top = np.maximum(logits.max(1), own)
-        logits -= top[:, None]
-        p, q = np.exp(logits, out=logits), np.exp(own - top)
-        total = p.sum(1) + q
-        p /= total[:, None] * n
-        q = (q / total - 1) / n
-        back = p @ net["out"][drawn] + q[:, None] * net["out"][target]
-        out = np.zeros_like(net["out"])
-        out[drawn] = p.T @ h
-        prior = np.bincount(target, q, VOCABULARY).astype(np.float32)
-        prior[drawn] += p.sum(0)
-        out += _summed(target, q[:, None] * h, VOCABULARY)
-        self._step_inner(word, target, h, back, n)
-        back *= 1 - h * h
-        for k, o in enumerate(OFFSETS):
-            self._apply("tables", k, _summed(tokens[at + o], back, len(layout)))
-        self._apply("bias", slice(None), back.sum(0))
-        self._apply("out", slice(None), out)
-        self._apply("prior", slice(None), prior)
-
-    def _step_inner(self, word: np.ndarray, target: np.ndarray, h: np.ndarray, back: np.ndarray, n: int) -> None:
-        layout = self.layout
-        own, rows, at = _blocks(target, layout)
-        if not len(rows):
-            return
-        grid, mine = layout.grid[own], _placed(h, rows, at, len(own))
-        inner = self.net["inner"][grid]
-        p = mine @ inner.transpose(0, 2, 1)
-        p += (self.net["inner_prior"][grid] + layout.mask[own])[:, None]
-        p -= p.max(2, keepdims=True)
-        np.exp(p, out=p)
-        by_row = p.reshape(len(own) * ROWS, -1)
-        scale = np.zeros(len(by_row), np.float32)  # stays 0 at places without a row
-        scale[at] = 1 / (by_row.sum(1)[at] * n)
-        by_row *= scale[:, None]
-        by_row[at, layout.place[word[rows]] - layout.start[target[rows]]] -= 1 / n
-        back[rows] += (p @ inner).reshape(-1, HIDDEN)[at]
-        # Blocks of one class follow one another.
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        held = layout.held[own[first]]
-        members = layout.grid[own[first]][held]
-        self._apply("inner", members, np.add.reduceat(p.transpose(0, 2, 1) @ mine, first, axis=0)[held])
-        self._apply("inner_prior", members, np.add.reduceat(p.sum(1), first, axis=0)[held])
-
-
-def _summed(keys: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """The sum of the rows of each key below size."""
-    at = keys.astype(np.int64)[:, None] * HIDDEN + np.arange(HIDDEN)
-    return np.bincount(at.ravel(), rows.ravel(), size * HIDDEN).reshape(size, HIDDEN).astype(np.float32)
+        gradient, negative = np.zeros_like(outer), np.zeros_like(negatives)
+        for i in range(0, n, CLASS_TOKENS):
+            part = slice(i, i + CLASS_TOKENS)
+            mine, classes = h[part], target[part]
+            positive = outer.take(classes, 0)
+            p, q = mine @ negatives.T, np.einsum("ij,ij->i", mine, positive)
+            twice = np.flatnonzero(where[classes] >= 0)
+            p[twice, where[classes[twice]]] = MASKED  # the target counts once
+            if relative:
+                top = np.maximum(p.max(1), q)
+                p -= top[:, None]
+                q -= top
+            np.exp(p, out=p)
+            np.exp(q, out=q)
+            scale = 1 / ((_sums(p) + q) * n)
+            p *= scale[:, None]
+            q = q * scale - np.float32(1 / n)
+            np.matmul(p, negatives[:, :HIDDEN], out=back[part])
+            positive *= q[:, None]
+            back[part] += positive[:, :HIDDEN]
+            negative += p.T @ mine
+            first = _firsts(classes)
+            gradient[classes[first]] += np.add.reduceat(q[:, None] * mine, first, axis=0)
+        gradient[drawn] += negative
+        return gradient
+
+    def _step_inner(self, word: np.ndarray, target: np.ndarray, h: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Adds to back what the words within their classes have as gradient, and returns that of inner and inner_prior."""
+        layout, inner = self.layout, with_column(self.net["inner"], self.net["inner_prior"])
+        relative = _bound(inner[:, :HIDDEN], inner[:, HIDDEN]) > SAFE
+        gradient, share = np.zeros_like(inner), np.float32(1 / len(target))
+        for c, rows, members in _classes(target, layout):
+            mine, own = h[rows], inner[members]
+            p = mine @ own.T
+            if relative:
+                p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p *= (share / _sums(p))[:, None]
+            p[np.arange(len(p)), layout.place[word[rows]] - members.start] -= share
+            back[rows] += p @ own[:, :HIDDEN]
+            np.matmul(p.T, mine, out=gradient[members])
+        return gradient
 
 
 # --- Spark -----------------------------------------------------------------
@@ -426,6 +469,7 @@ def _train(shared, frequency: list[float], layout: Layout):
 
     def run(batches):
         trainer, n, own = None, 0, None
+        keep_memory()
 
         def sent():
             return pa.RecordBatch.from_arrays([pa.array([flat(trainer.net).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["net", "n"])
@@ -514,6 +558,7 @@ def _score(shared, frequency: list[float], layout: Layout):
     """row, doc_id, number of tokens and sum of log-probabilities of row, doc_id, tokens, known; without the counts of words in no head."""
 
     def run(batches):
+        keep_memory()
         net = unflat(shared.value, layout)
         # What is left of the shared classes beyond the vocabulary, as logarithms of its counts.
         shares = np.array([scaled_log(n) if FREQUENT < i < VOCABULARY and n else 0 for i, n in enumerate(frequency)], np.int64)
@@ -532,6 +577,19 @@ def _score(shared, frequency: list[float], layout: Layout):
     return run
 
 
+def tail_logs(tokens: DataFrame, counted: DataFrame) -> DataFrame:
+    """row, tail: the sum of the scaled logarithms of the counts of each row's tail words; rows may lack if it is 0.
+
+    Words meet by their hash, as numbers sort faster, and are then compared. An
+    equality would be sorted by as well, so the comparison is two inequalities.
+    Words that occur once have the logarithm 0 and are left out.
+    """
+    held = tokens.select("row", F.explode("tail").alias("word")).withColumn("hash", F.xxhash64("word"))
+    given = counted.where("n > 1").select(F.col("word").alias("same"), "n", F.xxhash64("word").alias("same_hash"))
+    met = held.join(given, (F.col("hash") == F.col("same_hash")) & (F.col("word") >= F.col("same")) & (F.col("word") <= F.col("same")))
+    return met.groupBy("row").agg(F.sum(F.round(F.log("n") * SCALE).cast("long")).alias("tail"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, log_prob, mean_log_prob.
 
@@ -557,7 +615,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", head_word
     shared = spark.sparkContext.broadcast(flat(train(tokens, frequency=frequency, layout=layout)))
     given = tokens.select("row", "doc_id", "tokens", "known").repartition(max(1, math.ceil(frequency.sum() / TASK_TOKENS)), "row")
     scored = given.mapInArrow(_score(shared, frequency.tolist(), layout), "row long, doc_id long, n_tokens long, classes double, within long")
-    tail = tokens.select("row", F.explode("tail").alias("word")).join(counted, "word").groupBy("row").agg(F.sum(F.round(F.log("n") * SCALE).cast("long")).alias("tail"))
+    tail = tail_logs(tokens, counted)
     total = F.round(F.col("classes") + (F.col("within") + F.coalesce("tail", F.lit(0))) / SCALE, 6)
     done = scored.join(tail, "row", "left").withColumn("log_prob", total)
     return done.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
