@@ -497,8 +497,13 @@ def dense_topk(spark, sf_dir):
 @query()
 def chunk_pack(spark, sf_dir):
     """R1, with lines as blocks. Packing with overlap has no SQL; tests hold it against brute force."""
-    own = lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("pos").alias("block_ord"), F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), F.lit(1).alias("page_no"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("section"), F.col("line").alias("text"))
-    return chunks.chunk(own).select("doc_id", "chunk_no", "tokens", F.size("block_ids").alias("n_blocks"), F.sha2("text", 256).alias("text_hash"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    block = lambda x, i: F.struct(i.alias("block_ord"), F.concat(F.lit("b"), i.cast("string")).alias("block_id"), F.lit(1).alias("page_no"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("section"), x.alias("text"))
+    own = docs.select("doc_id", F.transform(F.split("text", "\n"), block).alias("blocks"))
+    # A row is a document, so its lines are packed where it is read. Only rows that share an id have to meet.
+    alone = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    found = chunks.chunk_rows(own) if alone else chunks.chunk(own.select("doc_id", F.inline("blocks")))
+    return found.select("doc_id", "chunk_no", "tokens", F.size("block_ids").alias("n_blocks"), F.sha2("text", 256).alias("text_hash"))
 
 
 # --- Merging ---------------------------------------------------------------
