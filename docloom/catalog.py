@@ -359,9 +359,8 @@ def sku_guarded(spark, sf_dir):
 def near_containment(spark, sf_dir):
     """Lines that a longer line of the same document holds."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.transform(F.split("text", "\n"), lambda x: T.squish(x))).alias("all"))
-    small = F.filter("all", lambda x: F.char_length(x) >= 4)
-    held = F.filter(small, lambda x: F.exists("all", lambda y: (F.char_length(y) > F.char_length(x)) & F.contains(F.lower(y), F.lower(x))))
-    return d.select("doc_id", F.size(held).cast("long").alias("contained")).where("contained > 0")
+    found = d.select("doc_id", T.n_held(F.transform("all", F.lower), F.transform("all", F.char_length), 4).alias("contained"))
+    return found.where("contained > 0")
 
 
 # --- Packages --------------------------------------------------------------

@@ -5,11 +5,14 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
-SPACE = r"(?U)\s+"
+#: The white space of (?U)\s, for trimming without a pattern.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space other than a single blank: of ASCII alone, and of Unicode.
+SPACE_ASCII, SPACE = r" \s+|[\t-\r]\s*", r"(?U) \s+|[\s&&[^ ]]\s*"
 
 # Fixed values.
 BLANKS = "\u00a0\u2007\u202f\u2009"
@@ -32,7 +35,7 @@ def _nfkc(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def nfkc(c: Column) -> Column:
@@ -77,7 +80,9 @@ def deconcatenate_labels(c: Column) -> Column:
 
 def squish(c: Column) -> Column:
     """One line with single blanks."""
-    return strip(F.regexp_replace(c, SPACE, " "))
+    # Patterns of Unicode's white space take many times as long, and single blanks stay as they are.
+    plain = F.octet_length(c) == F.char_length(c)
+    return F.btrim(F.when(plain, F.regexp_replace(c, SPACE_ASCII, " ")).otherwise(F.regexp_replace(c, SPACE, " ")), F.lit(" "))
 
 
 def is_boilerplate(c: Column, more: list[str] | None = None) -> Column:
@@ -151,6 +156,37 @@ def prune_subsumed(items: Column) -> Column:
     return F.when(F.size(out) > 0, out).otherwise(kept)
 
 
+def held_by_longer(texts: list[str], sizes: list[int], shortest: int) -> int:
+    """How many texts of at least `shortest` characters lie within one that is longer by sizes.
+
+    The texts are searched as one string, the longest first, so each one looks
+    at no more than those that are longer, and stops at the first that holds it.
+    """
+    order = sorted(range(len(texts)), key=lambda i: -sizes[i])
+    whole = "\n".join(texts[i] for i in order)
+    n = at = end = 0  # end: where the longer ones end
+    for place, i in enumerate(order):
+        if sizes[i] < shortest:
+            break
+        if place and sizes[i] != sizes[order[place - 1]]:
+            end = at
+        n += end > 0 and whole.find(texts[i], 0, end) >= 0
+        at += len(texts[i]) + 1
+    return n
+
+
+def n_held(texts: Column, sizes: Column, shortest: int) -> Column:
+    """held_by_longer of arrays of texts without line ends; null for null."""
+    from docloom.ship import ship
+
+    ship(SparkSession.getActiveSession())
+
+    def run(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else held_by_longer(list(t), list(s), shortest) for t, s in zip(texts, sizes, strict=True)], dtype="Int64")
+
+    return F.pandas_udf(run, LongType())(texts, sizes)
+
+
 def norm_label(c: Column) -> Column:
     """N14."""
     return squish(F.regexp_replace(F.lower(c), r"[^a-z0-9 /#&]", " "))
