@@ -444,26 +444,21 @@ def _top_sql(body: str, score: str) -> str:
     return f"WITH {BM25_SQL}, {body} r AS (SELECT item_id, doc_id, round({score}, 6) AS score FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 6"
 
 
-def _parts(spark, sf_dir):
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    counted = retrieval.counted(docs, "doc_id")
-    posts, sizes = retrieval.postings_of(counted, "doc_id"), counted.select("doc_id", "dl")
-    return posts, sizes, retrieval.query_terms(items, "item_id"), sizes.agg(F.count(F.lit(1)).alias("N"))
+def _ranked(spark, sf_dir, score: str) -> DataFrame:
+    counted = retrieval.counted(table(spark, sf_dir, "documents"), "doc_id")
+    return retrieval.ranked(counted, table(spark, sf_dir, "benchmark"), 6, score, "doc_id", "item_id")
 
 
 @query(_top_sql("x AS (SELECT item_id, doc_id, bm25 AS s FROM b),", "s"))
 def bm25_topk(spark, sf_dir):
     """R2."""
-    posts, sizes, terms, _ = _parts(spark, sf_dir)
-    scored = retrieval.bm25(posts, sizes, terms, "doc_id", "item_id")
-    return retrieval.top(scored, 6, "bm25", "doc_id", "item_id").select("item_id", "doc_id", F.col("bm25").alias("score"), "rank")
+    return _ranked(spark, sf_dir, "bm25")
 
 
 @query(_top_sql("x AS (SELECT item_id, doc_id, cosine AS s FROM v),", "s"))
 def tfidf_cosine(spark, sf_dir):
     """R3."""
-    posts, _, terms, n = _parts(spark, sf_dir)
-    return retrieval.top(retrieval.tfidf(posts, n, terms, "doc_id", "item_id"), 6, "cosine", "doc_id", "item_id").select("item_id", "doc_id", F.col("cosine").alias("score"), "rank")
+    return _ranked(spark, sf_dir, "cosine")
 
 
 @query(
@@ -476,9 +471,7 @@ def tfidf_cosine(spark, sf_dir):
 )
 def hybrid_topk(spark, sf_dir):
     """R4, R5."""
-    posts, sizes, terms, n = _parts(spark, sf_dir)
-    fused = retrieval.fuse(retrieval.bm25(posts, sizes, terms, "doc_id", "item_id"), retrieval.tfidf(posts, n, terms, "doc_id", "item_id"), n, "doc_id", "item_id")
-    return retrieval.top(fused, 6, "score", "doc_id", "item_id").select("item_id", "doc_id", "score", "rank")
+    return _ranked(spark, sf_dir, "score")
 
 
 @query(
